@@ -127,7 +127,7 @@ def mask(key: str, text: str) -> str:
 
 def shape(masked: str) -> str:
     """What a slot must look like for the header grammar: class names and punctuation, without the words."""
-    if masked.startswith("<") or masked in ("[<lvl>]", "-", "---", "[<ts>]", "(<ts>]"):
+    if masked.startswith("<") or masked in ("[<lvl>]", "[-]", "-", "---", "[<ts>]", "(<ts>]"):
         return masked
     if masked.endswith("="):
         return masked
@@ -188,7 +188,7 @@ def roles(shapes: list[str], kind: str) -> dict[str, int]:
     if "ts>" in at(0):
         out["time"] = 0
         i = 1
-    if at(i) in ("<lvl>", "[<lvl>]") or (at(i) == "[w]" and at(i + 1) == "<lvl>"):
+    if at(i) in ("<lvl>", "[<lvl>]", "[-]") or (at(i) == "[w]" and at(i + 1) == "<lvl>"):
         thread_first = at(i) == "[w]"
         out["level"] = i + thread_first
         i = out["level"] + 1
