@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from functools import lru_cache
 
 # Level names and their usual spellings.
 LEVELS = {
@@ -110,8 +111,11 @@ def fields(line: str, kind: str) -> list[tuple[str, str]]:
 
 def mask(key: str, text: str) -> str:
     """A token's constant part: keys stay, stamps, levels, numbers and ids become classes with their punctuation."""
-    if key:
-        return key + "="
+    return key + "=" if key else _mask(text)
+
+
+@lru_cache(1 << 16)
+def _mask(text: str) -> str:
     if _stamp_shape.match(text):
         return text[0] + "<ts>]" if text[0] in "[(" else "<ts>"
     if _klog.match(text):
@@ -125,6 +129,7 @@ def mask(key: str, text: str) -> str:
     return re.sub(r"\d+", "0", text) if any(c.isdigit() for c in text) else text
 
 
+@lru_cache(1 << 16)
 def shape(masked: str) -> str:
     """What a slot must look like for the header grammar: class names and punctuation, without the words."""
     if masked.startswith("<") or masked in ("[<lvl>]", "[-]", "-", "---", "[<ts>]", "(<ts>]"):

@@ -111,28 +111,31 @@ def templates(masked: DataFrame) -> DataFrame:
 def _roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = [lt.roles([lt.shape(m) for m in masks], kind) for kind, masks in zip(b["kind"], b["masks"], strict=True)]
-        yield pd.DataFrame({"leaf": b["leaf"], "votes": b["votes"], "role": [{k: int(v) for k, v in r.items()} for r in out], "sig": [str(sorted(r.items())) for r in out]})
+        yield pd.DataFrame({"mask_key": b["mask_key"], "leaf": b["leaf"], "own": [{k: int(v) for k, v in r.items()} for r in out], "sig": [str(sorted(r.items())) for r in out]})
 
 
 def slots(leaves: DataFrame) -> DataFrame:
-    """(leaf, role): of each leaf template the slots that its header grammar gives, by majority of distinct shapes."""
-    flat = leaves.select(F.xxhash64("leaf").alias("leaf"), "kind", "masks", F.lit(1).alias("votes"))
-    voted = flat.mapInPandas(_roles, "leaf long, votes long, role map<string,int>, sig string")
-    tally = voted.groupBy("leaf", "sig").agg(F.sum("votes").alias("votes"), F.any_value("role").alias("role"))
-    return tally.groupBy("leaf").agg(F.max_by(F.struct("role", "sig"), F.struct("votes", "sig")).alias("best")).select("leaf", "best.role", "best.sig")
+    """(mask_key, leaf, role): the slots of each leaf template, by majority of its distinct masked lines.
+
+    A masked line whose own header grammar disagrees with its template is split off as a leaf of its own.
+    """
+    flat = leaves.select("mask_key", F.xxhash64("leaf").alias("leaf"), "kind", "masks")
+    voted = cut(flat.mapInPandas(_roles, "mask_key string, leaf long, own map<string,int>, sig string"))
+    tally = voted.groupBy("leaf", "sig").agg(F.count("*").alias("votes"), F.any_value("own").alias("role"))
+    best = tally.groupBy("leaf").agg(F.max_by(F.struct("role", "sig"), F.struct("votes", "sig")).alias("best"))
+    fits = F.col("best.sig") == F.col("sig")
+    return voted.join(best, "leaf").select(
+        "mask_key", F.when(fits, F.col("leaf")).otherwise(F.xxhash64("leaf", "sig")).alias("leaf"), F.when(fits, F.col("best.role")).otherwise(F.col("own")).alias("role")
+    )
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
-        for text, ts, kind, sig, role in zip(b["text"], b["timestamp_ns"], b["kind"], b["sig"], b["role"], strict=True):
+        years = pd.to_datetime(b["timestamp_ns"].fillna(0), unit="ns").dt.year.tolist()
+        for text, year, kind, role in zip(b["text"], years, b["kind"], b["role"], strict=True):
             line = lt.plain(text)
-            tokens = lt.fields(line, kind)
-            own = lt.roles([lt.shape(lt.mask(k, w)) for k, w in tokens], kind)
-            known = dict(role or {})
-            used = known if sig == str(sorted(own.items())) else own  # a row its template doesn't fit is a leaf of its own
-            year = pd.Timestamp(int(ts), unit="ns").year if ts == ts and ts is not None else 1970
-            out.append(lt.extract(line, tokens, used, year))
+            out.append(lt.extract(line, lt.fields(line, kind), dict(role), year))
         event, level, name, message = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
         yield pd.DataFrame({
             "entry_id": b["entry_id"], "last_entry_id": b["last_entry_id"], "timestamp_ns": b["timestamp_ns"], "component_label": b["component_label"],
@@ -151,8 +154,7 @@ def parse(logs: DataFrame) -> DataFrame:
     masked = cut(masked.withColumn("mask_key", F.md5(F.concat_ws("\x01", "kind", F.array_join("masks", "\x02")))))
     distinct = masked.groupBy("mask_key").agg(F.any_value(F.struct("kind", "masks")).alias("m")).select("mask_key", "m.*")
     leaves = cut(templates(distinct))
-    role_of = leaves.select("mask_key", F.xxhash64("leaf").alias("leaf")).join(slots(leaves), "leaf")
-    rows = masked.drop("masks", "line").join(role_of, "mask_key", "left")
+    rows = masked.drop("masks", "line").join(slots(leaves), "mask_key")
     fields = rows.mapInPandas(
         _extract, "entry_id long, last_entry_id long, timestamp_ns long, component_label string, event long, level string, name string, message string, template long"
     )
