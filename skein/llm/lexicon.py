@@ -8,7 +8,7 @@ the transducer, without a copy of the word. Everything lies in one file of plain
 from __future__ import annotations
 
 import base64
-from collections import Counter
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -174,20 +174,35 @@ class Lexicon:
 # The tokenizer's word pattern, and the same for texts of ASCII only.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"""
+#: Stretches of ASCII in other texts from which on it pays to split them by the plainer pattern.
+ASCII_RUN = r"[\x00-\x7f]{96,}"
+#: Where a text may be cut without changing its words: before white space that follows something else.
+CUT = r"(?<=[^ \t-\r])[ \t-\r]"
 
 
 @lru_cache(1)
 def _patterns():
-    import re
-
     import regex
 
-    return re.compile(ASCII_PATTERN).findall, regex.compile(PATTERN).findall
+    return re.compile(ASCII_PATTERN).findall, regex.compile(PATTERN).findall, re.compile(ASCII_RUN).finditer, re.compile(CUT).search
 
 
 def split(text: str) -> list[str]:
-    ascii_words, words = _patterns()
-    return ascii_words(text) if text.isascii() else words(text)
+    """The words of a text, which joined give the text again."""
+    ascii_words, words, runs, cut = _patterns()
+    if text.isascii():
+        return ascii_words(text)
+    out, at = [], 0
+    for run in runs(text):
+        first = cut(text, run.start() + 1, run.end())
+        last = max(text.rfind(c, run.start(), run.end()) for c in " \n")
+        while first and last > first.start() and text[last - 1] in " \t\n\r\f\v":
+            last -= 1
+        if first and last > first.start():
+            out += words(text[at : first.start()])
+            out += ascii_words(text[first.start() : last])
+            at = last
+    return out + words(text[at:])
 
 
 class Encoder:
@@ -196,24 +211,46 @@ class Encoder:
     def __init__(self, lexicon: str, ranks: str):
         self.lexicon = Lexicon(lexicon)
         self.ranks = read_ranks(ranks)
-        self.memo: dict[str, list[int]] = {}
-        self.seen = Counter()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.start, self.count, self.flat = (np.zeros(0, np.int64) for _ in range(3))
 
     def learn(self, words: set[str]) -> None:
+        """Gives every word a slot: its ids lie in ``flat`` from ``start`` on."""
         new = list(words.difference(self.memo))
         if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
+            self._forget()
             new = list(words)
+        if not new:
+            return
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         numbers = self.lexicon.numbers(raw).tolist()
-        for word, data, number in zip(new, raw, numbers, strict=True):
-            self.memo[word] = self.lexicon.ids_of(number) if number >= 0 else merge_word(data, self.ranks)
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        words = [split(t) if t else [] for t in texts]
-        self.learn(set().union(*words) if words else set())
-        get = self.memo.__getitem__
-        return [[i for ids in map(get, w) for i in ids] for w in words]
+        ids = [self.lexicon.ids_of(n) if n >= 0 else merge_word(w, self.ranks) for w, n in zip(raw, numbers, strict=True)]
+        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.int64)])
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids end to end, number of ids per text)."""
+        words: list[str] = []
+        ends = np.zeros(len(texts) + 1, np.int64)
+        for i, t in enumerate(texts):
+            if t:
+                words += split(t)
+            ends[i + 1] = len(words)
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        self.learn(set(words))
+        slot = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        count = self.count[slot]
+        upto = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(count, out=upto[1:])
+        at = np.repeat(self.start[slot] - upto[:-1], count) + np.arange(upto[-1])
+        return self.flat[at].astype(np.int32), np.diff(upto[ends])
 
 
 @lru_cache(4)

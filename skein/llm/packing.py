@@ -132,10 +132,10 @@ def pack(docs: DataFrame, capacities: DataFrame, key: str = "doc_id", text: str
             texts = batch.column(1).to_pylist()
             names = batch.column(0).to_pylist()
             for a, b in slices(texts):
-                for k, ids in zip(names[a:b], enc.encode(texts[a:b]), strict=True):
-                    if ids:
+                for k, n in zip(names[a:b], enc.encode(texts[a:b])[1].tolist(), strict=True):
+                    if n:
                         keys.append(k)
-                        counts.append(len(ids))
+                        counts.append(n)
             if len(keys) >= BLOCK_ITEMS:
                 yield from fill(keys, np.array(counts), block)
                 keys, counts, block = [], [], block + 1

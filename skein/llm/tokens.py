@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm import lexicon as lx
-from skein.runtime import shared_folder
+from skein.runtime import cut, shared_folder
 
 #: Folder of the public tokenizers' files, the same on all machines.
 TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
@@ -60,9 +60,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
-    """The ``words`` most frequent words of all texts (ties: the smaller word), with their counts."""
-    counted = docs.select(text).mapInArrow(_count, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    """Words of all texts with their counts: all that occur at least so often that ``words`` of them at most remain.
+
+    The least count comes from a table of counts (1, 2, ... 1024, then steps of an eighth of a power of two), whose
+    size doesn't depend on the data; no task sends words to the driver before that bound holds.
+    """
+    counted = cut(docs.select(text).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    step = F.when(F.col("n") <= 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n") / 1024) * 8)).cast("bigint")
+    table = counted.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    kept, least = 0, None
+    for row in table:
+        kept += row.words
+        if kept > words:
+            break
+        least = row.least
+    return counted.filter(F.col("n") >= least) if least is not None else counted.limit(0)
 
 
 def _write(spark: SparkSession, path: str, data: bytes) -> None:
@@ -118,10 +130,9 @@ def encode(docs: DataFrame, key: str, text: str = "text", ranks: str | None = No
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
-                ids = enc.encode(texts[a:b])
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                offsets[1:] = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
+                flat, count = enc.encode(texts[a:b])
+                offsets = np.zeros(len(count) + 1, np.int32)
+                np.cumsum(count, out=offsets[1:])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [key, "ids"])
 
     rows = docs.select(key, text)
