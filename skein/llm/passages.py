@@ -170,7 +170,7 @@ def shared_windows(candidates: DataFrame, docs: DataFrame, span: int = SPAN) ->
 
     ``candidates``: anchor rows; ``docs``: doc, doc_id, text. Each candidate row is cut out of its text; rows with
     one hash and equal characters form a class. A class of two documents is shared as a whole. Where a hash has
-    several classes, their single windows are compared, by hash and 128-bit key of the characters. Both are hash
+    several classes, their single windows are compared by a 128-bit key of their characters. Both are hash
     aggregations with map-side partials: a passage in a third of all texts collapses before the shuffle, and no
     pairs are formed.
     """
@@ -182,16 +182,16 @@ def shared_windows(candidates: DataFrame, docs: DataFrame, span: int = SPAN) ->
     one, two = _strong(F.col("piece"))
     cuts = cut(cuts.select("doc", "doc_id", "h", "first", "windows", one.alias("c1"), two.alias("c2"), "piece"))
     classes = cuts.groupBy("h", "c1", "c2", "piece", "windows").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    whole = classes.filter(F.col("lo") != F.col("hi")).select("h", "c1", "c2", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).cast("int").alias("b"))).alias("parts"))
+    whole = classes.filter(F.col("lo") != F.col("hi")).select("c1", "c2", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).cast("int").alias("b"))).alias("parts"))
     several = classes.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > 1).select("h")
     wone, wtwo = _strong(F.expr(f"substring(piece, i + 1, {span})"))
-    windows = classes.join(several, "h").select("h", "c1", "c2", "piece", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("windows").cast("int") - 1)).alias("i"))
-    windows = windows.select("h", "c1", "c2", "lo", "hi", "i", wone.alias("w1"), wtwo.alias("w2"))
-    common = windows.groupBy("h", "w1", "w2").agg(F.min("lo").alias("l"), F.max("hi").alias("u")).filter(F.col("l") != F.col("u")).select("h", "w1", "w2")
-    loose = windows.filter(F.col("lo") == F.col("hi")).join(common, ["h", "w1", "w2"])
-    partly = loose.groupBy("h", "c1", "c2").agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("a"), F.col("i").alias("b")))).alias("parts"))
+    windows = classes.join(several, "h").select("c1", "c2", "piece", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("windows").cast("int") - 1)).alias("i"))
+    windows = windows.select("c1", "c2", "lo", "hi", "i", wone.alias("w1"), wtwo.alias("w2"))
+    common = windows.groupBy("w1", "w2").agg(F.min("lo").alias("l"), F.max("hi").alias("u")).filter(F.col("l") != F.col("u")).select("w1", "w2")
+    loose = windows.filter(F.col("lo") == F.col("hi")).select("c1", "c2", F.col("i").cast("int"), "w1", "w2").join(common, ["w1", "w2"])
+    partly = loose.groupBy("c1", "c2").agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("a"), F.col("i").alias("b")))).alias("parts"))
     found = whole.unionByName(partly)
-    return cuts.drop("piece", "windows").join(found, ["h", "c1", "c2"]).select("doc_id", "doc", "first", F.explode("parts").alias("p")).select(
+    return cuts.select("doc", "doc_id", "first", "c1", "c2").join(found, ["c1", "c2"]).select("doc_id", "doc", "first", F.explode("parts").alias("p")).select(
         "doc_id", "doc", (F.col("first") + F.col("p.a")).alias("first"), (F.col("first") + F.col("p.b")).alias("last")
     )
 
