@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from skein.runtime import cut
 
 #: Hash tables of a round, and most buckets that a query visits per table.
-TABLES, PROBES = 2, 8
+TABLES, PROBES = 2, 4
 #: Bucket size to aim at, and the sizes from which a bucket's rows and queries are split into blocks.
 BUCKET, BLOCK = 256, 2048
 #: Queries (smallest hashes of the ids) that are compared with all rows to fit the bucket width.
 FIT_QUERIES = 256
 #: Width of a bucket in units of the k-th neighbour's distance that the sample shows.
-WIDTH = 6.0
+WIDTH = 8.0
 #: Similarities closer than this are ties, which go to the smaller id.
 TIE_DIGITS = 12
 
