@@ -78,3 +78,46 @@ def descendants(resolved: DataFrame) -> DataFrame:
     return resolved.filter(F.col("path").isNotNull() & (F.size("path") > 1)).select(
         "tree", F.col("node").alias("descendant"), "depth", F.posexplode(above).alias("_at", "node")
     ).select("tree", "node", "descendant", (F.col("depth") - F.col("_at")).alias("distance"))
+
+
+def ancestors_fold(links: DataFrame, weight: str, total: str = "above") -> DataFrame:
+    """links plus ``total``: the sum of ``weight`` over a node and all its ancestors, by pointer doubling.
+
+    Parents outside the table end a chain. Nodes on or below cycles get null.
+    """
+    known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
+    state = links.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("jump"), F.col(weight).cast("double").alias("acc"))
+    state = cut(state)
+    open_nodes = state.filter(F.col("jump").isNotNull()).count()
+    while open_nodes:
+        up = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("acc").alias("_acc"))
+        opened, done = state.filter(F.col("jump").isNotNull()), state.filter(F.col("jump").isNull())
+        moved = opened.join(up, ["tree", "jump"]).select("tree", "node", F.col("_jump").alias("jump"), (F.col("acc") + F.col("_acc")).alias("acc"))
+        state = cut(moved.unionByName(done))
+        left = state.filter(F.col("jump").isNotNull()).count()
+        if left == open_nodes:
+            break
+        open_nodes = left
+    sums = state.select("tree", "node", F.when(F.col("jump").isNull(), F.col("acc")).alias(total))
+    return links.join(sums, ["tree", "node"])
+
+
+def reach(links: DataFrame, flag: str) -> DataFrame:
+    """tree, node, above, below: whether any proper ancestor, or any proper descendant, has ``flag``.
+
+    Works on cycles too: rounds go on until the distance covers every unfinished node.
+    """
+    known = links.select("tree", F.col("node").alias("parent"), F.col(flag).alias("_up"))
+    f = F.coalesce(F.col(flag), F.lit(False))
+    state = links.join(known, ["tree", "parent"], "left").select(
+        "tree", "node", F.when(F.col("_up").isNotNull(), F.col("parent")).alias("jump"), F.coalesce("_up", F.lit(False)).alias("above"), f.alias("inside"), F.lit(False).alias("below")
+    )
+    state, distance = cut(state), 1
+    while (left := state.filter(F.col("jump").isNotNull()).count()) and distance <= 2 * left:
+        up = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("above").alias("_above"))
+        opened, done = state.filter(F.col("jump").isNotNull()), state.filter(F.col("jump").isNull())
+        moved = opened.join(up, ["tree", "jump"]).select("tree", "node", F.col("_jump").alias("jump"), (F.col("above") | F.col("_above")).alias("above"), "inside", "below")
+        gain = opened.groupBy("tree", F.col("jump").alias("node")).agg(F.max(F.col("inside") | F.col("below")).alias("_gain"))
+        state = moved.unionByName(done).join(gain, ["tree", "node"], "left").withColumn("below", F.col("below") | F.coalesce("_gain", F.lit(False))).drop("_gain")
+        state, distance = cut(state), distance * 2
+    return state.select("tree", "node", "above", "below")
