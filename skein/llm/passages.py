@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.runtime import cut, shared_folder
+from skein.runtime import shared_folder
 
 #: Least length of a shared span, and length of the fingerprinted windows, in code points.
 SPAN, GRAM = 160, 64
@@ -115,8 +115,12 @@ SCHEMA = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", T.
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str, span: int = SPAN) -> DataFrame:
-    """doc (64-bit key of id and text), doc_id and text of the rows that can hold a span at all."""
-    return docs.filter(F.char_length(text) >= span).select(F.xxhash64(doc_id, text).alias("doc"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """doc (40-bit key of id and text), doc_id and text of the rows that can hold a span at all.
+
+    Two texts may have one key: then spots of one are also cut out of the other, where they are compared by their
+    characters like all others, so the result stays the same.
+    """
+    return docs.filter(F.char_length(text) >= span).select(F.shiftrightunsigned(F.xxhash64(doc_id, text), 24).alias("doc"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
 
 class FingerprintIndex:
@@ -161,6 +165,13 @@ class FingerprintIndex:
                 self._write(merged, level + 1)
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """The rows as a compressed table in the shared folder: read three times, recomputed never."""
+    path = f"{shared_folder(rows.sparkSession).rstrip('/')}/cuts-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _strong(value: Column) -> list[Column]:
     return [F.xxhash64(value), F.xxhash64(F.lit("second"), value)]
 
@@ -170,7 +181,7 @@ def shared_windows(candidates: DataFrame, docs: DataFrame, span: int = SPAN) ->
 
     ``candidates``: anchor rows; ``docs``: doc, doc_id, text. Each candidate row is cut out of its text; rows with
     one hash and equal characters form a class. A class of two documents is shared as a whole. Where a hash has
-    several classes, their single windows are compared by a 128-bit key of their characters. Both are hash
+    several classes, their single windows are compared by a 96-bit key of their characters. Both are hash
     aggregations with map-side partials: a passage in a third of all texts collapses before the shuffle, and no
     pairs are formed.
     """
@@ -178,19 +189,20 @@ def shared_windows(candidates: DataFrame, docs: DataFrame, span: int = SPAN) ->
     cuts = docs.join(spots, "doc").select(
         "doc", "doc_id",
         F.explode(F.expr(f"transform(spots, s -> struct(s.h as h, s.first as first, s.windows as windows, substring(text, s.first + 1, s.windows + {span - 1}) as piece))")).alias("s"),
-    ).select("doc", "doc_id", "s.*")
+    ).select("doc", "doc_id", "s.*").filter(F.char_length("piece") == F.col("windows") + span - 1)
     one, two = _strong(F.col("piece"))
-    cuts = cut(cuts.select("doc", "doc_id", "h", "first", "windows", one.alias("c1"), two.alias("c2"), "piece"))
-    classes = cuts.groupBy("h", "c1", "c2", "piece", "windows").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    number = F.monotonically_increasing_id().alias("cut")
+    cuts = _written(cuts.select("doc", "doc_id", "h", "first", "windows", one.alias("c1"), two.alias("c2"), "piece", number))
+    classes = cuts.groupBy("h", "c1", "c2", "piece", "windows").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("cut").alias("cut"))
     whole = classes.filter(F.col("lo") != F.col("hi")).select("c1", "c2", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).cast("int").alias("b"))).alias("parts"))
     several = classes.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > 1).select("h")
-    wone, wtwo = _strong(F.expr(f"substring(piece, i + 1, {span})"))
-    windows = classes.join(several, "h").select("c1", "c2", "piece", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("windows").cast("int") - 1)).alias("i"))
-    windows = windows.select("c1", "c2", "lo", "hi", "i", wone.alias("w1"), wtwo.alias("w2"))
+    window = F.expr(f"substring(piece, i + 1, {span})")
+    windows = classes.join(several, "h").select("cut", "piece", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("windows").cast("int") - 1)).alias("i"))
+    windows = windows.select("cut", "lo", "hi", "i", F.xxhash64(window).alias("w1"), F.hash(window).alias("w2"))
     common = windows.groupBy("w1", "w2").agg(F.min("lo").alias("l"), F.max("hi").alias("u")).filter(F.col("l") != F.col("u")).select("w1", "w2")
-    loose = windows.filter(F.col("lo") == F.col("hi")).select("c1", "c2", F.col("i").cast("int"), "w1", "w2").join(common, ["w1", "w2"])
-    partly = loose.groupBy("c1", "c2").agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("a"), F.col("i").alias("b")))).alias("parts"))
-    found = whole.unionByName(partly)
+    loose = windows.filter(F.col("lo") == F.col("hi")).select("cut", F.col("i").cast("int"), "w1", "w2").join(common, ["w1", "w2"])
+    partly = loose.groupBy("cut").agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("a"), F.col("i").alias("b")))).alias("parts"))
+    found = whole.unionByName(classes.select("cut", "c1", "c2").join(partly, "cut").drop("cut"))
     return cuts.select("doc", "doc_id", "first", "c1", "c2").join(found, ["c1", "c2"]).select("doc_id", "doc", "first", F.explode("parts").alias("p")).select(
         "doc_id", "doc", (F.col("first") + F.col("p.a")).alias("first"), (F.col("first") + F.col("p.b")).alias("last")
     )
