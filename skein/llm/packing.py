@@ -31,7 +31,8 @@ def pieces(tokens_of: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 class _Stock:
     """Items by size, to take the largest that fits."""
 
-    def __init__(self, items: np.ndarray, size: np.ndarray):
+    def __init__(self, size: np.ndarray):
+        items = np.arange(len(size))
         order = np.lexsort((items, size))
         self.sizes, first = np.unique(size[order], return_index=True)
         self.lists = [x.tolist()[::-1] for x in np.split(items[order], first[1:])] if len(items) else []
@@ -46,50 +47,43 @@ class _Stock:
             del self.lists[k], self.sizes[k]
         return item
 
+    def above(self, size: int) -> int:
+        """How many items are larger than ``size``."""
+        return sum(map(len, self.lists[bisect_right(self.sizes, size) :]))
+
 
 def harmonic(size: np.ndarray, capacity: int) -> np.ndarray:
     """Bin of each piece (sizes from 1 to capacity).
 
-    A piece of class j has a size in (capacity / (j + 1), capacity / j], and a bin of class j takes j of them: its
-    fill needs no look at sizes, so every worker fills bins alone. Room that bins keep (always under half in class
-    1) goes to pieces of later classes, the largest that fits first, before those classes open bins of their own;
-    the unfinished last bins of all classes share bins at the end, first fit by falling size.
+    A piece of class j has a size in (capacity / (j + 1), capacity / j], and a bin of class j takes j of them, so
+    every worker fills bins of a class alone. The room that such a bin keeps goes to pieces of later classes, the
+    largest that fits first. Pieces that don't make up a whole bin of their class share bins at the end, first fit by
+    falling size: their number is less than that of the classes' squares, whatever the number of pieces.
     """
     bin_of = np.full(len(size), -1, np.int64)
-    cls = capacity // np.maximum(size, 1)
-    order = np.lexsort((np.arange(len(size)), -size))
-    stock = _Stock(np.nonzero(cls > 1)[0], size[cls > 1])
-    n_bins = 0
-
-    def top_up(room: int, number: int) -> None:
-        while (item := stock.take(room)) is not None:
-            bin_of[item] = number
-            room -= size[item]
-
-    for item in order[: int((cls == 1).sum())]:
-        bin_of[item] = n_bins
-        top_up(capacity - size[item], n_bins)
-        n_bins += 1
-    rest = order[bin_of[order] < 0]
-    left: list[np.ndarray] = []
-    at = 0
-    while at < len(rest):
-        j = int(cls[rest[at]])
-        end = at + int(np.searchsorted(cls[rest[at:]], j, "right"))
-        while end - at >= j:
-            group = rest[at : at + j]
-            bin_of[group] = n_bins
+    stock, n_bins, left = _Stock(size), 0, []
+    while stock.sizes:
+        j = capacity // stock.sizes[-1]
+        low = capacity // (j + 1)
+        have = stock.above(low)
+        while have >= j:
+            room = capacity
+            for _ in range(j):
+                item = stock.take(capacity // j)
+                bin_of[item] = n_bins
+                room -= int(size[item])
+            have -= j
+            while (item := stock.take(min(room, low))) is not None:
+                bin_of[item] = n_bins
+                room -= int(size[item])
             n_bins += 1
-            at += j
-        if end > at:
-            left.append(rest[at:end])
-        at = end
+        left += [stock.take(capacity) for _ in range(have)]
     rooms: list[int] = []
-    for item in np.concatenate(left) if left else ():
+    for item in sorted(left, key=lambda i: (-size[i], i)):
         k = next((i for i, room in enumerate(rooms) if room >= size[item]), len(rooms))
         if k == len(rooms):
             rooms.append(capacity)
-        rooms[k] -= size[item]
+        rooms[k] -= int(size[item])
         bin_of[item] = n_bins + k
     return bin_of
 
