@@ -61,7 +61,9 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
         F.lower(F.get(own, F.lit(0))["span_id"]).alias("parent_span_id"), F.col("operation_name").alias("name"), F.lower("span_kind").alias("kind"), F.lower("status_code").alias("status"),
         start.alias("start_ns"), (start + F.coalesce("duration", F.lit(0))).alias("end_ns"), F.to_json("tags").alias("tags"), "service_name",
     )
-    one = rows.groupBy(F.lower("trace_id").alias("trace_id"), F.lower("span_id").alias("span_id")).agg(F.min_by(body, F.struct(F.col("ingested_at").isNull(), "ingested_at", body)).alias("b"))
+    rows = rows.select(F.lower("trace_id").alias("_t"), F.lower("span_id").alias("_s"), body.alias("_b"), "ingested_at")
+    first = F.min_by("_b", F.struct(F.col("ingested_at").isNull(), "ingested_at", "_b")).alias("b")
+    one = rows.groupBy(F.col("_t").alias("trace_id"), F.col("_s").alias("span_id")).agg(first)
     attrs = F.transform_values(F.from_json("b.tags", "map<string,string>"), lambda _, v: value(v))
     empty = F.expr(f"cast(map() as map<string,{ATTRIBUTE}>)")
     service = F.when(F.col("b.service_name").isNotNull(), F.create_map(F.lit("service.name"), value(F.col("b.service_name")))).otherwise(empty)
