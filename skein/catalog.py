@@ -26,9 +26,7 @@ ORACLES: dict[str, str] = {}
 
 def sample_view(spark: SparkSession, d: str) -> DataFrame:
     """All samples as one metric ``sample``; the original name is the label ``metric``."""
-    rows = model.metric_samples(spark, d)
-    name = lab.get(F.col("labels"), "__name__")
-    return rows.withColumn("labels", lab.put(lab.put(F.col("labels"), "metric", name), "__name__", F.lit("sample")))
+    return model.metric_samples(spark, d, as_metric="sample")
 
 
 def flat(df: DataFrame, names: list[str]) -> DataFrame:

@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 LABELS = "array<struct<name:string,value:string>>"
 
 
-def canonical(labels: Column) -> Column:
-    """Sorted distinct labels with non-empty name and value; null becomes the empty set."""
-    kept = F.filter(labels, lambda x: (x["value"] != "") & (x["name"] != ""))
-    return F.coalesce(F.array_sort(F.array_distinct(kept)), F.array().cast(LABELS))
+def canonical(labels: Column, extra: dict[str, Column] | None = None) -> Column:
+    """Sorted distinct labels with non-empty name and value; null becomes the empty set.
+
+    ``extra`` labels take the place of those of equal name. One pass over the array, sorted by native order.
+    """
+    extra = extra or {}
+    labels = F.coalesce(labels, F.array().cast(LABELS))
+    keep = lambda x: (x["value"] != "") & (x["name"] != "")
+    if not extra:
+        return F.sort_array(F.array_distinct(F.filter(labels, keep)))
+    own = F.filter(labels, lambda x: keep(x) & ~x["name"].isin(*extra))
+    new = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in extra.items()]), keep)
+    return F.sort_array(F.array_distinct(F.concat(own, new)))
 
 
 def get(labels: Column, name: str) -> Column:
@@ -31,10 +40,9 @@ def drop(labels: Column, names: list[str]) -> Column:
 
 
 def put(labels: Column, name: str, value: Column) -> Column:
-    """Set a label; an empty or null value removes it."""
-    rest = F.filter(labels, lambda x: x["name"] != name)
-    new = F.array(F.struct(F.lit(name).alias("name"), value.alias("value")))
-    return F.when(F.coalesce(value, F.lit("")) == "", rest).otherwise(F.array_sort(F.concat(rest, new)))
+    """Set a label; an empty or null value removes it. ``labels`` is evaluated once."""
+    new = F.filter(F.array(F.struct(F.lit(name).alias("name"), value.alias("value"))), lambda x: x["value"] != "")
+    return F.sort_array(F.concat(F.filter(labels, lambda x: x["name"] != name), new))
 
 
 def from_map(m: Column) -> Column:

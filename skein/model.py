@@ -10,15 +10,18 @@ from skein.functions.histograms import HISTOGRAM
 from skein.runtime import table, utc_micros
 
 
-def metric_samples(spark: SparkSession, d: str, namespace: str | None = None) -> DataFrame:
+def metric_samples(spark: SparkSession, d: str, namespace: str | None = None, as_metric: str | None = None) -> DataFrame:
     """labels, ts_ms, value, stale, hist from samples. Of rows of one series and time the last written one counts
     (highest sample_id; a redelivered row is the same row). Rows without a value that are not stale are left out.
-    Without ``namespace`` the namespace becomes a label of that name."""
+    Without ``namespace`` the namespace becomes a label of that name. ``as_metric`` renames all series to that metric
+    and keeps their name as the label ``metric``."""
     rows = table(spark, d, "samples").filter((F.col("value").isNotNull() | F.coalesce("stale", F.lit(False))) & F.col("timestamp_ms").isNotNull())
     if namespace is not None:
         rows = rows.filter(F.col("namespace") == namespace)
-    ls = lab.canonical(F.col("labels"))
-    labels = ls if namespace is not None else lab.put(ls, "namespace", F.col("namespace"))
+    extra = {} if namespace is not None else {"namespace": F.col("namespace")}
+    if as_metric:
+        extra |= {"metric": lab.get(F.col("labels"), "__name__"), "__name__": F.lit(as_metric)}
+    labels = lab.canonical(F.col("labels"), extra)
     rows = rows.select(labels.alias("labels"), F.col("timestamp_ms").alias("ts_ms"), F.coalesce("value", F.lit(float("nan"))).alias("value"), F.coalesce("stale", F.lit(False)).alias("stale"), "sample_id")
     last = rows.groupBy("labels", "ts_ms").agg(F.max_by("value", "sample_id").alias("value"), F.max_by("stale", "sample_id").alias("stale"))
     return last.withColumn("hist", F.lit(None).cast(HISTOGRAM))
@@ -32,7 +35,7 @@ def native_histograms(spark: SparkSession, d: str) -> DataFrame:
         F.col("hist_schema").alias("schema"), "zero_threshold", "zero_count", F.col("hist_count").alias("count"), F.col("hist_sum").alias("sum"),
         pairs("positive").alias("positive"), pairs("negative").alias("negative"), "custom_values", F.col("counter_reset_hint").alias("hint"),
     ).cast(HISTOGRAM)
-    labels = lab.put(lab.canonical(F.col("labels")), "namespace", F.col("namespace"))
+    labels = lab.canonical(F.col("labels"), {"namespace": F.col("namespace")})
     rows = rows.select(labels.alias("labels"), F.col("timestamp_ms").alias("ts_ms"), hist.alias("hist"), "hist_id")
     last = rows.groupBy("labels", "ts_ms").agg(F.max_by("hist", "hist_id").alias("hist"))
     return last.select("labels", "ts_ms", F.lit(None).cast("double").alias("value"), F.lit(False).alias("stale"), "hist")
@@ -41,7 +44,7 @@ def native_histograms(spark: SparkSession, d: str) -> DataFrame:
 def log_entries(spark: SparkSession, d: str) -> DataFrame:
     """labels, ts_ns, line, metadata from log_entries, each entry_id once; null lines are left out. The namespace is a label."""
     rows = table(spark, d, "log_entries").filter(F.col("line").isNotNull() & F.col("timestamp_ns").isNotNull())
-    labels = lab.put(lab.canonical(F.col("labels")), "namespace", F.col("namespace"))
+    labels = lab.canonical(F.col("labels"), {"namespace": F.col("namespace")})
     pairs = F.to_json("structured_metadata")
     one = rows.select("entry_id", F.struct(labels.alias("labels"), F.col("timestamp_ns").alias("ts_ns"), "line", pairs.alias("meta")).alias("e"))
     once = one.groupBy("entry_id").agg(F.min("e").alias("e")).select("e.*", "entry_id")

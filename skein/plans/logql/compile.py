@@ -144,7 +144,7 @@ class Compiler(pc.Compiler):
         rows = rows.withColumn("v", F.when(bad, F.when(fail, ieee.num(0))).otherwise(value)).filter(F.col("v").isNotNull())
         rows = rows.select(key.alias("labels"), "ts_ns", "v", "entry_id", *extra)
         if node.op == "rate_counter":
-            rows = neighbours(rows, ["labels"], "ts_ns", {"ts_ns": "pts", "v": "pv"}, block=6 * 3_600_000 * MS)
+            rows = neighbours(rows, ["labels"], "ts_ns", {"ts_ns": "pts", "v": "pv"}, log.range_ns, block=6 * 3_600_000 * MS)
         seen = rows.withColumn("step", F.explode(visible(grid, log.offset_ns, F.col("ts_ns"), F.col("ts_ns") + log.range_ns)))
         seen = seen.withColumn("step", (F.col("step") / MS).cast("bigint"))
         seconds = ieee.num(log.range_ns / 1e9)

@@ -183,7 +183,7 @@ class Compiler:
         pinned = self.pin(node)
         grid = self.grid if pinned is None else Grid(pinned, pinned, 0)
         rows = self.selected(node, grid.start - node.offset_ms - self.lookback, grid.last - node.offset_ms)
-        rows = neighbours(rows, ["labels"], "ts_ms", {"ts_ms": "next_ts"}, forward=True)
+        rows = neighbours(rows, ["labels"], "ts_ms", {"ts_ms": "next_ts"}, self.lookback, forward=True)
         until = F.least(F.col("ts_ms") + self.lookback, F.coalesce("next_ts", F.col("ts_ms") + self.lookback))
         seen = rows.filter(~F.col("stale")).withColumn("step", F.explode(visible(grid, node.offset_ms, F.col("ts_ms"), until)))
         df = seen.select("labels", "step", "value", "hist", F.col("ts_ms").alias("src_ts"))
@@ -210,7 +210,7 @@ class Compiler:
             named = inner.named
         else:
             raise QueryError("a range vector is needed")
-        rows = neighbours(rows, ["labels"], "ts_ms", {"ts_ms": "pts", "value": "pv"})
+        rows = neighbours(rows, ["labels"], "ts_ms", {"ts_ms": "pts", "value": "pv"}, node.range_ms)
         seen = rows.withColumn("step", F.explode(visible(grid, node.offset_ms, F.col("ts_ms"), F.col("ts_ms") + node.range_ms)))
         eff = F.col("step") - node.offset_ms
         inside = F.col("pts") > F.col("step") - node.offset_ms - node.range_ms

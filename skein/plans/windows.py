@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein import labels as lab
+
 #: Length of the time blocks that bound a window partition, however long or hot a series is.
 BLOCK_MS = 6 * 3_600_000
 
@@ -32,25 +34,24 @@ class Grid:
         return spark.range(self.count).select((F.lit(self.start) + F.col("id") * F.lit(max(self.step, 1))).alias("step"))
 
 
-def neighbours(df: DataFrame, keys: list[str], time: str, carry: dict[str, str], forward: bool = False, block: int = BLOCK_MS) -> DataFrame:
-    """Adds columns of the row before (or after) in time with the same keys. ``carry``: column -> new name.
+def neighbours(df: DataFrame, keys: list[str], time: str, carry: dict[str, str], reach: int, forward: bool = False, block: int = BLOCK_MS) -> DataFrame:
+    """Adds columns of the row before (or after) in time with the same keys, if it is at most ``reach`` away.
 
-    Windows are partitioned by keys and time block; only each block's edge row looks into the nearest other block,
-    through a window over one row per block. So a series with a third of all samples is sorted in many tasks.
+    ``carry``: column -> new name. Windows are partitioned by a 128-bit hash of the keys and by time block, so a series
+    with a third of all samples is sorted in many tasks. Rows within reach of a block's border are also sent to the
+    neighbouring block, where they serve as neighbours only: one shuffle, no join.
     """
-    order = F.col(time).asc()
-    at = F.floor(F.col(time) / F.lit(block))
-    struct = F.struct(time, *[c for c in carry if c != time])
-    within = Window.partitionBy(*keys, "_block").orderBy(order)
-    step = (F.lead if forward else F.lag)(struct).over(within)
-    rows = df.withColumn("_block", at).withColumn("_near", step)
-    edge = (F.min if forward else F.max)(struct)
-    blocks = df.withColumn("_block", at).groupBy(*keys, "_block").agg(edge.alias("_edge"))
-    across = Window.partitionBy(*keys).orderBy("_block")
-    other = blocks.select(*keys, "_block", (F.lead if forward else F.lag)("_edge").over(across).alias("_other"))
-    rows = rows.join(other, [*keys, "_block"], "left")
-    near = F.coalesce("_near", "_other")
-    return rows.withColumn("_near", near).select(*df.columns, *[F.col(f"_near.{c}").alias(n) for c, n in carry.items()])
+    block = max(block, 4 * reach)
+    home = F.floor(F.col(time) / F.lit(block)).cast("bigint")
+    into = F.col(time) - home * F.lit(block)
+    guest = F.when(into < reach, home - 1) if forward else F.when(into >= block - reach, home + 1)
+    copies = F.filter(F.array(home, guest), lambda x: x.isNotNull())
+    one, two = lab.key(*[F.col(k) for k in keys])
+    rows = df.withColumns({"_k1": one, "_k2": two, "_home": home, "_block": F.explode(copies)})
+    w = Window.partitionBy("_k1", "_k2", "_block").orderBy(F.col(time))
+    step = F.lead if forward else F.lag
+    near = rows.withColumns({n: step(c).over(w) for c, n in carry.items()}).filter(F.col("_block") == F.col("_home"))
+    return near.select(*df.columns, *carry.values())
 
 
 def visible(grid: Grid, effective_shift: int, low: Column, high: Column) -> Column:
