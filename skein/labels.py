@@ -17,7 +17,7 @@ def canonical(labels: Column, extra: dict[str, Column] | None = None) -> Column:
     ``extra`` labels take the place of those of equal name. One pass over the array, sorted by native order.
     """
     extra = extra or {}
-    labels = F.coalesce(labels, F.array().cast(LABELS))
+    labels = F.coalesce(labels.cast(LABELS), F.array().cast(LABELS))
     keep = lambda x: (x["value"] != "") & (x["name"] != "")
     if not extra:
         return F.sort_array(F.array_distinct(F.filter(labels, keep)))

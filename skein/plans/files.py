@@ -138,6 +138,7 @@ def unlink(files: DataFrame, path: str) -> DataFrame:
 
 def rmdir(files: DataFrame, path: str) -> DataFrame:
     """Removes an empty directory; one that holds something makes the query fail."""
-    full = F.max(F.startswith("path", F.lit(path + "/"))).over(Window.partitionBy("tenant"))
-    failing = F.when((F.col("path") == path) & full, F.raise_error(F.lit("directory not empty")).cast("boolean")).otherwise(F.col("path") != path)
-    return files.filter(failing)
+    inside = files.filter(F.startswith("path", F.lit(path + "/"))).select("tenant", F.lit(path).alias("path"), F.lit(True).alias("_full")).distinct()
+    full = (F.col("path") == path) & F.coalesce("_full", F.lit(False))
+    failing = F.when(full, F.raise_error(F.lit("directory not empty")).cast("boolean")).otherwise(F.col("path") != path)
+    return files.join(inside, ["tenant", "path"], "left").filter(failing).select(*files.columns)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from skein import labels as lab
 from skein.functions.histograms import HISTOGRAM
 from skein.functions.levels import detected_level
 from skein.model import ATTRIBUTE
+from skein.plans.logql.stages import clean, flatten
 
 ANY = "struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double>"
 ATTRS = f"array<struct<key:string,value:{ANY}>>"
@@ -53,7 +58,7 @@ def text_of(v: Column) -> Column:
 
 
 def pairs(attrs: Column) -> Column:
-    return F.transform(F.coalesce(attrs, F.array().cast(ATTRS)), lambda a: F.struct(clean_label(a["key"]).alias("name"), text_of(a["value"]).alias("value")))
+    return F.transform(F.coalesce(attrs, F.array().cast(ATTRS)), lambda a: F.struct(clean_label(a["key"]).alias("name"), text_of(a["value"]).alias("value"))).cast(lab.LABELS)
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -61,7 +66,7 @@ def attribute(attrs: Column, name: str) -> Column:
 
 
 def _label(name: str, value: Column) -> Column:
-    return F.array(F.struct(F.lit(name).alias("name"), value.alias("value")))
+    return F.array(F.struct(F.lit(name).alias("name"), value.alias("value"))).cast(lab.LABELS)
 
 
 def metrics(bodies: DataFrame, column: str = "value") -> DataFrame:
@@ -83,7 +88,8 @@ def metrics(bodies: DataFrame, column: str = "value") -> DataFrame:
 
     def rows(df: DataFrame, name: Column, value: Column, extra: list[Column] = (), hist: Column | None = None) -> DataFrame:  # type: ignore[assignment]
         merged = F.concat(_label("__name__", name), *extra, pairs(F.col("p.attributes")), F.col("base"))
-        unique = lab.canonical(F.transform(F.map_entries(F.aggregate(merged, F.expr("cast(map() as map<string,string>)"), lambda a, x: F.when(F.map_contains_key(a, x["name"]) | x["value"].isNull(), a).otherwise(F.map_concat(a, F.create_map(x["name"], x["value"]))))), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"))))
+        first = lambda x, i: ~F.exists(F.slice(merged, F.lit(1), i), lambda y: y["name"] == x["name"])
+        unique = lab.canonical(F.filter(merged, first))
         return df.select(unique.alias("labels"), ts.alias("ts_ms"), value.cast("double").alias("value"), F.lit(False).alias("stale"), (hist if hist is not None else F.lit(None)).cast(HISTOGRAM).alias("hist"))
 
     number = F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double"))
@@ -146,13 +152,6 @@ def bulk(bodies: DataFrame, column: str = "value", time_field: str = "@timestamp
 
     Documents lie on the line after their action; lines are paired within a body, so bodies stay whole.
     """
-    from skein.plans.logql.stages import clean, flatten
-
-    import json
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -170,7 +169,7 @@ def bulk(bodies: DataFrame, column: str = "value", time_field: str = "@timestamp
                     when = when.tz_convert(None) if when.tzinfo else when
                     line = flat.pop(clean(message_field), "")
                     stream = {clean(f): flat.pop(clean(f)) for f in stream_fields if clean(f) in flat}
-                    rows.append((list(stream.items()), int(when.value), line, list(flat.items())))
+                    rows.append((stream, int(when.value), line, flat))
             yield pd.DataFrame(rows, columns=["ls", "ts", "text", "meta"])
 
     v = bodies.select(column).mapInPandas(run, "ls map<string,string>, ts long, text string, meta map<string,string>")
