@@ -24,49 +24,68 @@ def span_links(spans: DataFrame) -> DataFrame:
     )
 
 
+def _doubling(state: DataFrame, step, fold) -> DataFrame:
+    """Runs rounds until no node is open (jump not null) or a round finishes none: then the rest hangs on cycles.
+
+    ``step(opened, state)`` moves the open nodes one doubling on, ``fold(moved, opened)`` adds what rides along. Each
+    round is checkpointed in the shared folder, so a lost executor costs no earlier round.
+    """
+    state = cut(state)
+    left = state.filter(F.col("jump").isNotNull()).count()
+    while left:
+        opened, done = state.filter(F.col("jump").isNotNull()), state.filter(F.col("jump").isNull())
+        state = cut(fold(step(opened, state).unionByName(done), opened))
+        before, left = left, state.filter(F.col("jump").isNotNull()).count()
+        if left == before:
+            break
+    return state
+
+
 def resolve(links: DataFrame, with_path: bool = False) -> DataFrame:
     """tree, node, root, depth, n_descendants and, if asked for, path (array from root to node).
 
     ``links``: tree, node (unique within the tree), parent (null, or a node that need not exist: then a root).
     Nodes on a cycle or below one get root '', depth and n_descendants -1 and a null path.
 
-    Each round joins every unfinished node to its current ancestor and doubles the distance it looks up, so
-    a depth of d takes about log2(d) rounds; descendant counts ride along (a node adds the count of all nodes that
-    point at it over exactly the present distance), so no ancestor pairs are produced. A round that finishes no
-    node proves that the rest hangs on cycles: of the unfinished, those with depth up to twice the distance would
-    have finished. Every round is checkpointed. Finished nodes aren't joined again; hot parents are split by AQE.
+    Each round joins every unfinished node to its current ancestor and doubles the distance it looks up, so a depth of
+    d takes about log2(d) rounds; descendant counts ride along (a node adds the count of all nodes that point at it
+    over exactly the present distance), so no ancestor pairs are produced. A round that finishes no node proves that
+    the rest hangs on cycles: of the unfinished, those with depth up to twice the distance would have finished.
+
+    Rounds carry row numbers instead of ids: they are given once, in a checkpointed table, and stand for (tree, node)
+    until the end. Finished nodes aren't joined again. A hot parent is met as one row per child on the way up, which
+    AQE splits, and as one partial sum per task on the way down.
     """
-    known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    start = [F.col("tree"), F.col("node"), F.when(F.col("_known"), F.col("parent")).alias("jump")]
-    has = links.filter(F.col("parent").isNotNull()).join(known, ["tree", "parent"], "left").select(*start)
-    roots = links.filter(F.col("parent").isNull()).select("tree", "node", F.lit(None).cast("string").alias("jump"))
-    state = has.unionByName(roots).withColumns(
-        {"root": F.when(F.col("jump").isNull(), F.col("node")), "acc": F.when(F.col("jump").isNull(), 0).otherwise(1).cast("bigint"), "size": F.lit(1).cast("bigint")}
-    )
+    named = cut(links.select("tree", "node", "parent", F.monotonically_increasing_id().alias("id")))
+    above = named.select("tree", F.col("node").alias("parent"), F.col("id").alias("jump"))
+    extra = ["path"] if with_path else []
+    start = ["id", *(["node"] if with_path else []), "jump"]
+    has = named.filter(F.col("parent").isNotNull()).join(above, ["tree", "parent"], "left").select(*start)
+    roots = named.filter(F.col("parent").isNull()).withColumn("jump", F.lit(None).cast("bigint")).select(*start)
+    top = F.col("jump").isNull()
+    state = has.unionByName(roots).withColumns({"root": F.when(top, F.col("id")), "acc": F.when(top, 0).otherwise(1).cast("int"), "size": F.lit(1).cast("bigint")})
     if with_path:
-        state = state.withColumn("path", F.array("node"))
-    state = cut(state)
-    open_nodes = state.filter(F.col("jump").isNotNull()).count()
-    while open_nodes:
-        opened, done = state.filter(F.col("jump").isNotNull()), state.filter(F.col("jump").isNull())
-        up = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("acc").alias("_acc"), *([F.col("path").alias("_path")] if with_path else []))
-        moved = opened.join(up, ["tree", "jump"]).select(
-            "tree", "node", F.col("_jump").alias("jump"), F.col("_root").alias("root"), (F.col("acc") + F.col("_acc")).alias("acc"), "size",
-            *([F.concat("path", "_path").alias("path")] if with_path else []),
-        )
-        gain = opened.groupBy("tree", F.col("jump").alias("node")).agg(F.sum("size").alias("_gain"))
-        state = moved.unionByName(done).join(gain, ["tree", "node"], "left").withColumn("size", F.col("size") + F.coalesce("_gain", F.lit(0))).drop("_gain")
-        state = cut(state)
-        left = state.filter(F.col("jump").isNotNull()).count()
-        if left == open_nodes:
-            break
-        open_nodes = left
+        state = state.withColumn("path", F.array("node")).drop("node")
+
+    def step(opened: DataFrame, state: DataFrame) -> DataFrame:
+        target = state.select(F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("acc").alias("_acc"), *[F.col(c).alias(f"_{c}") for c in extra])
+        return opened.join(target, "jump").select("id", F.col("_jump").alias("jump"), F.col("_root").alias("root"), (F.col("acc") + F.col("_acc")).alias("acc"), "size", *[F.concat(c, f"_{c}").alias(c) for c in extra])
+
+    def fold(moved: DataFrame, opened: DataFrame) -> DataFrame:
+        gain = opened.groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("_gain"))
+        return moved.join(gain, "id", "left").withColumn("size", F.col("size") + F.coalesce("_gain", F.lit(0))).drop("_gain")
+
+    state = _doubling(state, step, fold)
     cyclic = F.col("jump").isNotNull()
+    names = named.select("id", "tree", "node")
+    tops = names.select(F.col("id").alias("root"), F.col("node").alias("_root"))
+    rooted = state.filter(F.col("jump").isNull() & (F.col("id") == F.col("root"))).select("root").join(tops, "root")
+    whole = state.join(names, "id").join(rooted, "root", "left")
     out = [
-        "tree", "node", F.when(cyclic, "").otherwise(F.col("root")).alias("root"),
+        "tree", "node", F.when(cyclic, "").otherwise(F.col("_root")).alias("root"),
         F.when(cyclic, -1).otherwise(F.col("acc")).alias("depth"), F.when(cyclic, -1).otherwise(F.col("size") - 1).alias("n_descendants"),
     ]
-    return state.select(*out, *([F.when(~cyclic, F.reverse("path")).alias("path")] if with_path else []))
+    return whole.select(*out, *([F.when(~cyclic, F.reverse("path")).alias("path")] if with_path else []))
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
