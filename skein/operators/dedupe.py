@@ -12,6 +12,10 @@ def normal_id(column: Column) -> Column:
     return F.when(trimmed != "", trimmed)
 
 
+#: Name of the key column while a plan runs; no column of a table should be called so.
+KEY = "__skein_request"
+
+
 def _rank(order: list[tuple[str, str]]) -> Column:
     """Struct whose smallest value is the copy that stays. ``order``: (column, 'asc' | 'desc'), null last in either."""
     parts = []
@@ -28,9 +32,9 @@ def survivors(df: DataFrame, scope: list[str], request_id: str, order: list[tupl
     row per request and task, however hot a request is. Rows with a null or blank identifier are no requests and
     don't appear. ``order`` must end in a unique column; among exactly repeated rows one value comes out.
     """
-    keyed = df.withColumn("_rid", normal_id(F.col(request_id))).filter(F.col("_rid").isNotNull())
-    best = F.min_by(F.struct(*carry), _rank(order)).alias("_best")
-    return keyed.groupBy(*scope, "_rid").agg(best).select("_best.*")
+    keyed = df.withColumn(KEY, normal_id(F.col(request_id))).filter(F.col(KEY).isNotNull())
+    best = F.min_by(F.struct(*carry), _rank(order)).alias("__skein_best")
+    return keyed.groupBy(*scope, KEY).agg(best).select("__skein_best.*")
 
 
 def exactly_once(df: DataFrame, scope: list[str], request_id: str, order: list[tuple[str, str]]) -> DataFrame:

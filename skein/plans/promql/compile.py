@@ -472,7 +472,7 @@ class Compiler:
             way = x.desc() if node.op == "topk" else x.asc()
             w = Window.partitionBy("_g", "step").orderBy(F.isnan(x), way, "labels")
             df = ranked.withColumn("_r", F.row_number().over(w))
-            df = df.filter(F.col("_r") <= F.lit(int(k.literal)) if k.literal is not None and abs(k.literal) < 2**31 else F.col("_r") <= F.col("_k"))
+            df = df.filter(F.col("_r") <= F.lit(int(k.literal)) if k.literal is not None and abs(k.literal) < 2**31 and k.literal == k.literal else F.col("_r") <= F.col("_k"))
             return replace(v, df=df.drop("_g", "_k", "_r"), direct=False)
         if node.op == "count_values":
             if not isinstance(node.param, p.String):
