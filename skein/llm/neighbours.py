@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.runtime import cut
@@ -30,8 +30,13 @@ def live_vectors(writes: DataFrame, dims: int = 64) -> DataFrame:
     Of several rows with the highest seq of an id (repeated rows) the one that is deleted, else any, counts.
     """
     last = writes.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct("deleted", "vector"), F.struct("seq", F.coalesce("deleted", F.lit(False)))).alias("s"))
-    sound = (F.size("vector") == dims) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    return last.select("id", "s.*").filter(~F.coalesce("deleted", F.lit(False)) & F.coalesce(sound, F.lit(False))).select("id", "vector")
+    return last.select("id", "s.*").filter(~F.coalesce("deleted", F.lit(False)) & sound(dims)).select("id", "vector")
+
+
+def sound(dims: int) -> Column:
+    """Whether ``vector`` has ``dims`` finite numbers, not all zero; never null."""
+    fine = (F.size("vector") == dims) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    return F.coalesce(fine, F.lit(False))
 
 
 def _unit(data: pa.Array, dims: int) -> np.ndarray:
@@ -228,7 +233,8 @@ def fit_scale(index: DataFrame, dims: int, k: int) -> float:
 def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int = 7) -> DataFrame:
     """id, other, sim: the k rows most similar by cosine to every row, itself left out; ties go to the smaller id.
 
-    ``vectors``: id (unique), vector (``dims`` finite numbers, not all zero). Exact copies are hashed once: of each
+    ``vectors``: id (unique), vector. Rows without an id, or without ``dims`` finite numbers that aren't all zero, take
+    no part. Exact copies are hashed once: of each
     distinct vector the k + 1 smallest ids enter the index, which is all that a ranking with ties by id can use.
 
     A round hashes unit vectors with random projections cut into cells. Queries visit their own bucket and, in
@@ -238,7 +244,7 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int = 7) -> Da
     round with doubled reach, and in the last round to all rows in blocks: nobody ends with fewer than there are.
     Fewer than k other rows: all of them. An empty table gives an empty result.
     """
-    packed = vectors.select("id", "vector").mapInArrow(_to_binary, "id string, v binary")
+    packed = vectors.filter(F.col("id").isNotNull() & sound(dims)).select("id", "vector").mapInArrow(_to_binary, "id string, v binary")
     copies = cut(packed)
     least = copies.groupBy("v").agg(F.min("id").alias("rep"))
     members = cut(copies.join(least, "v").select("rep", "id", "v"))
@@ -265,7 +271,7 @@ def nearest(vectors: DataFrame, k: int = 5, dims: int = 64, seed: int = 7) -> Da
 
 
 def _smallest(members: DataFrame, k: int) -> DataFrame:
-    """Of every distinct vector the ``k`` smallest ids: k rounds of a minimum would do; here top-k lists of tasks merge."""
+    """Of every distinct vector the ``k`` smallest ids: each batch keeps its k smallest, and these lists merge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -93,10 +93,10 @@ def pack(docs: DataFrame, capacities: DataFrame, key: str = "doc_id", text: str
 
     Every text with at least one token is placed whole in one container of each size, or, if it exceeds the
     capacity, in full containers and one rest. Null and empty texts take no part. Repeated rows are placed each.
-    Sizes with null or non-positive capacity are left out. A bin's name holds the task and block that filled it, so
+    Sizes without a name or a positive capacity are left out. A bin's name holds the task and block that filled it, so
     tasks need no word of one another and nothing is shuffled; a repeated task refills all its bins.
     """
-    rows = capacities.filter(F.col("capacity_tokens") > 0).select("size_name", "capacity_tokens").distinct().limit(MOST_SIZES + 1).collect()
+    rows = capacities.filter((F.col("capacity_tokens") > 0) & F.col("size_name").isNotNull()).select("size_name", "capacity_tokens").distinct().limit(MOST_SIZES + 1).collect()
     if len(rows) > MOST_SIZES:
         raise ValueError(f"more than {MOST_SIZES} container sizes")
     sizes = sorted((int(r.capacity_tokens), r.size_name) for r in rows)

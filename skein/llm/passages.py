@@ -120,7 +120,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str, span: int = SPAN) -> DataFram
     Two texts may have one key: then spots of one are also cut out of the other, where they are compared by their
     characters like all others, so the result stays the same.
     """
-    return docs.filter(F.char_length(text) >= span).select(F.shiftrightunsigned(F.xxhash64(doc_id, text), 24).alias("doc"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return docs.filter((F.char_length(text) >= span) & F.col(doc_id).isNotNull()).select(F.shiftrightunsigned(F.xxhash64(doc_id, text), 24).alias("doc"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
 
 class FingerprintIndex:
@@ -234,7 +234,7 @@ def spans(windows: DataFrame, span: int = SPAN) -> DataFrame:
 def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """Shared windows of a whole table, as one batch of a new index.
 
-    Null, empty and short texts share nothing. The same text under one doc_id twice is no sharing; exact copies
+    Null, empty and short texts share nothing, nor do rows without an id. The same text under one doc_id twice is no sharing; exact copies
     under two ids share everything. An empty table gives an empty result.
     """
     index = FingerprintIndex(docs.sparkSession, span=span, gram=gram)

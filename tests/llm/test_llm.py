@@ -82,6 +82,8 @@ def test_few_rows_and_none(spark):
     x = np.eye(64)[:3]
     assert neighbours.nearest(frame(spark, ["a", "b", "c"], x)).count() == 6
     assert neighbours.nearest(frame(spark, ["a"], x[:1])).count() == 0
+    odd = spark.createDataFrame([("a", x[0].tolist()), ("b", x[1].tolist()), ("n", None), ("s", [1.0]), ("z", [0.0] * 64), (None, x[2].tolist())], "id string, vector array<float>")
+    assert {(r.id, r.other) for r in neighbours.nearest(odd).collect()} == {("a", "b"), ("b", "a")}
     assert neighbours.nearest(frame(spark, ["a"], x[:1]).limit(0)).count() == 0
 
 
@@ -158,7 +160,7 @@ def test_split_joins_to_the_text():
 def test_every_token_is_placed_once_within_capacity(spark):
     rng = random.Random(6)
     texts = [None, "", "word " * 5000] + ["word " * rng.randrange(1, 900) for _ in range(300)]
-    sizes = spark.createDataFrame([("s", 512), ("m", 2048), ("none", 0), ("null", None)], "size_name string, capacity_tokens long")
+    sizes = spark.createDataFrame([("s", 512), ("m", 2048), ("none", 0), ("null", None), (None, 512)], "size_name string, capacity_tokens long")
     df = docs(spark, texts)
     packed = packing.pack(df, sizes)
     length = {r.doc_id: len(r.ids) for r in tokens.encode(df, "doc_id").collect()}
@@ -231,6 +233,7 @@ def test_same_document_copies_and_empty(spark):
     two = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
     assert {r.doc_id: r.shared_chars for r in passages.shared_chars(passages.shared_passages(two)).collect()} == {1: len(text), 2: len(text)}
     assert passages.shared_passages(two.limit(0)).count() == 0
+    assert passages.shared_passages(spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string")).count() == 0
 
 
 def test_long_texts_go_in_pieces(spark, monkeypatch):
