@@ -389,3 +389,89 @@ QUERIES["discovery_metadata"] = lambda spark, d: discovery.metric_metadata(table
 ORACLES["discovery_metadata"] = "SELECT metric_name, arg_max(metric_type, series_id) AS metric_type, arg_max(coalesce(unit, ''), series_id) AS unit FROM metric_series GROUP BY 1"
 QUERIES["discovery_tag_names"] = lambda spark, d: discovery.tag_names(model.spans(spark, d), "span")
 ORACLES["discovery_tag_names"] = SPANS + "SELECT DISTINCT 'span' AS scope, unnest(map_keys(tags)) AS name FROM x WHERE tags IS NOT NULL"
+
+
+# --- further functions, one query each ---------------------------------------------------------------------------------
+
+NUMBER = "NOT isnan(v)"
+UNIT_RANGE = {
+    "abs": "abs(X)", "ceil": "ceil(X)", "floor": "floor(X)", "exp": "exp(X)", "sqrt": "sqrt(X)", "sin": "sin(X)", "cos": "cos(X)", "tan": "tan(X)", "asin": "asin(X)", "acos": "acos(X)", "atan": "atan(X)",
+    "sinh": "sinh(X)", "cosh": "cosh(X)", "tanh": "tanh(X)", "asinh": "asinh(X)", "deg": "degrees(X)", "rad": "radians(X)", "sgn": "sign(X)",
+}
+for _f, _sql in UNIT_RANGE.items():
+    instant(f"promql_{_f}", f"max by (job) ({_f}(clamp(sample == sample, 0, 1)))", ["job"], f"max({_sql.replace('X', 'least(greatest(v, 0), 1)')})", "job", NUMBER)
+for _f, _sql in {"ln": "ln(X)", "log2": "log2(X)", "log10": "log10(X)", "acosh": "acosh(X)"}.items():
+    instant(f"promql_{_f}", f"max by (job) ({_f}(clamp(sample == sample, 1, 5)))", ["job"], f"max({_sql.replace('X', 'least(greatest(v, 1), 5)')})", "job", NUMBER)
+instant("promql_atanh", "max by (job) (atanh(clamp(sample == sample, 0, 0.5)))", ["job"], "max(atanh(least(greatest(v, 0), 0.5)))", "job", NUMBER)
+instant("promql_clamp_min", "min by (job) (clamp_min(sample == sample, 10))", ["job"], "min(greatest(v, 10))", "job", NUMBER)
+instant("promql_clamp_max", "max by (job) (clamp_max(sample == sample, 10))", ["job"], "max(least(v, 10))", "job", NUMBER)
+AT = "make_timestamp(ts * 1000)"
+for _f, _sql in {"year": "year(T)", "month": "month(T)", "day_of_month": "day(T)", "day_of_year": "dayofyear(T)", "day_of_week": "dayofweek(T)", "hour": "hour(T)", "minute": "minute(T)", "days_in_month": "day(last_day(T))"}.items():
+    instant(f"promql_{_f}", f"max by (job) ({_f}(timestamp(sample)))", ["job"], f"max({_sql.replace('T', AT)})")
+GOOD = "v > -1e15 AND v < 1e15 AND NOT isnan(v)"
+instant("promql_stddev", "stddev by (job) (sample > -1e15 < 1e15)", ["job"], "stddev_pop(v)", "job", GOOD)
+instant("promql_stdvar", "sqrt(stdvar by (job) (sample > -1e15 < 1e15))", ["job"], "sqrt(var_pop(v))", "job", GOOD)
+instant("promql_modulo_power", "max by (job) ((sample > -1e15 < 1e15) % 7 ^ 2)", ["job"], "max(fmod(v, 49))", "job", GOOD)
+instant("promql_atan2", "max by (job) ((sample == sample) atan2 3)", ["job"], "max(atan2(v, 3))", "job", NUMBER)
+instant("promql_unary_minus", "min by (job) (-(sample == sample))", ["job"], "min(-v)", "job", NUMBER)
+instant("promql_division", "max by (job) (1 / (1 + abs(sample == sample)))", ["job"], "max(1 / (1 + abs(v)))", "job", NUMBER)
+prom("promql_label_join", "count by (pair) (label_join(sample, 'pair', '/', 'namespace', 'job'))", ["pair"], INSTANT + "z AS (SELECT namespace || '/' || coalesce(job, '') AS pair, t AS step, count(*)::DOUBLE AS value FROM n GROUP BY ALL) SELECT pair, step, value FROM z")
+prom("promql_quantile_over_time", "max by (job) (quantile_over_time(0.75, sample[30m]))", ["job"], over(HALF) + f"""r AS (SELECT job, t, quantile_cont(v, 0.75) AS x FROM w GROUP BY namespace, ls, job, t HAVING bool_and(isfinite(v))),
+z AS (SELECT job, t AS step, max(x) AS value FROM r GROUP BY ALL) SELECT job, step, round(value + 2e-8, 6) AS value FROM z WHERE {FINITE}""")
+ORACLES["promql_quantile_over_time"] = over(HALF) + f"""o AS (SELECT namespace, ls, job, t, list_sort(list(CASE WHEN isnan(v) THEN '-inf'::DOUBLE ELSE v END)) AS a, count(*) FILTER (isnan(v)) AS m FROM w GROUP BY ALL),
+p AS (SELECT *, 0.75 * (len(a) - 1) AS pos FROM o), r AS (SELECT job, t, CASE WHEN floor(pos) < m THEN 'nan'::DOUBLE WHEN floor(pos) = pos THEN a[pos::INT + 1] ELSE a[floor(pos)::INT + 1] * (1 - pos + floor(pos)) + a[floor(pos)::INT + 2] * (pos - floor(pos)) END AS x FROM p),
+z AS (SELECT job, t AS step, coalesce(max(CASE WHEN NOT isnan(x) THEN x END), 'nan'::DOUBLE) AS value FROM r GROUP BY ALL) SELECT job, step, round(value + 2e-8, 6) AS value FROM z WHERE {FINITE}"""
+prom("promql_stddev_over_time", "count by (job) (stddev_over_time(sample[30m]) > 1)", ["job"], over(HALF) + "r AS (SELECT job, t, stddev_pop(v) AS x FROM w GROUP BY namespace, ls, job, t HAVING bool_and(isfinite(v))) SELECT job, t AS step, count(*)::DOUBLE AS value FROM r WHERE x > 1 GROUP BY ALL")
+prom("promql_predict_linear", "count by (job) (predict_linear(sample[30m], 600) > 1000)", ["job"], over(HALF) + """r AS (SELECT job, t, CASE WHEN min(v) = max(v) THEN min(v) ELSE regr_intercept(v, (ts - t) / 1000) + 600 * regr_slope(v, (ts - t) / 1000) END AS x FROM w GROUP BY namespace, ls, job, t HAVING count(*) > 1 AND bool_and(isfinite(v)))
+SELECT job, t AS step, count(*)::DOUBLE AS value FROM r WHERE x > 1000 GROUP BY ALL""")
+prom("promql_absent_over_time", "absent_over_time(sample{job=~'amber.*'}[10m])", [], SERIES + GRID + "a AS (SELECT DISTINCT t FROM q JOIN g ON ts > t - 600000 AND ts <= t WHERE NOT stale AND job LIKE 'amber%') SELECT t AS step, 1.0::DOUBLE AS value FROM g ANTI JOIN a USING (t)")
+prom("promql_bottomk", "bottomk by (namespace) (1, count by (namespace, job) (count_over_time(sample[3d])))", ["namespace", "job"], SERIES + GRID + """
+l AS (SELECT namespace, job, t, count(DISTINCT ls) AS m FROM q JOIN g ON ts > t - 259200000 AND ts <= t WHERE NOT stale GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY namespace, t ORDER BY m, job) AS r FROM l)
+SELECT namespace, job, t AS step, m::DOUBLE AS value FROM k WHERE r = 1""")
+prom("promql_group_right", "sum by (namespace) (count_over_time(sample[30m])) - on (namespace) group_right () sum by (namespace, job) (count_over_time(sample[30m]))", ["namespace", "job"], over(HALF) + """
+a AS (SELECT namespace, job, t, count(*) AS n FROM w GROUP BY ALL), b AS (SELECT namespace, t, count(*) AS n FROM w GROUP BY ALL) SELECT a.namespace, a.job, a.t AS step, (b.n - a.n)::DOUBLE AS value FROM a JOIN b ON a.namespace = b.namespace AND a.t = b.t""")
+prom("promql_ignoring", "sum by (namespace, job) (count_over_time(sample[30m])) / ignoring (job) group_left sum by (namespace) (count_over_time(sample[30m]))", ["namespace", "job"], ORACLES["promql_matching"])
+prom("promql_one_to_one", "count by (job) (count_over_time(sample[30m])) * count by (job) (last_over_time(sample[1h]))", ["job"], over(HALF) + """
+a AS (SELECT job, t, count(DISTINCT (namespace, ls)) AS n FROM w GROUP BY ALL), b AS (SELECT job, t, count(DISTINCT (namespace, ls)) AS n FROM q JOIN g ON ts > t - 3600000 AND ts <= t WHERE NOT stale GROUP BY ALL)
+SELECT a.job, a.t AS step, (a.n * b.n)::DOUBLE AS value FROM a JOIN b ON a.job IS NOT DISTINCT FROM b.job AND a.t = b.t""")
+
+TOOK = ' | regexp "took=(?P<took>[0-9]+)ms" | unwrap took [1h]))'
+V = "regexp_extract(line, 'took=([0-9]+)ms', 1)::DOUBLE"
+HAS = "WHERE regexp_matches(line, 'took=[0-9]+ms') GROUP BY ALL"
+for _f, _sql in {"sum": f"sum({V})", "min": f"min({V})"}.items():
+    logql(f"logql_{_f}_over_time", f"{_f} by (app) ({_f}_over_time({ALL}{TOOK}", ["app"], f"SELECT app, t AS step, {_sql} AS value FROM w {HAS}")
+for _f, _sql in {"avg": f"avg({V})", "stddev": f"stddev_pop({V})", "stdvar": f"var_pop({V})", "quantile": f"quantile_cont({V}, 0.5)", "first": f"arg_min({V}, (ns, entry_id))", "last": f"arg_max({V}, (ns, entry_id))"}.items():
+    _q = f"{_f}_over_time({'0.5, ' if _f == 'quantile' else ''}{ALL}" + ' | regexp "took=(?P<took>[0-9]+)ms" | unwrap took [1h]) by (app)'
+    logql(f"logql_{_f}_over_time", _q, ["app"], f"SELECT app, t AS step, round({_sql} + 2e-8, 6) AS value FROM w {HAS}")
+logql("logql_absent_over_time", '{namespace=~".+"} |= "lease"'.join(["absent_over_time(", "[10m])"]), [], "SELECT t AS step, 1.0::DOUBLE AS value FROM g ANTI JOIN (SELECT DISTINCT t FROM e JOIN g ON ns > (t - 600000) * 1000000 AND ns <= t * 1000000 WHERE contains(line, 'lease')) USING (t)")
+logql("logql_bytes_rate", f"sum by (namespace) (bytes_rate({ALL}[1h]))", ["namespace"], "SELECT namespace, t AS step, round(sum(strlen(line)) / 3600 + 2e-8, 6) AS value FROM w GROUP BY ALL")
+logql("logql_bottomk", f"bottomk(2, sum by (app) (count_over_time({ALL}[1h])))", ["app"], "SELECT app, step, value FROM (SELECT app, t AS step, count(*)::DOUBLE AS value, row_number() OVER (PARTITION BY t ORDER BY count(*), app) AS r FROM w GROUP BY app, t) WHERE r <= 2")
+logql("logql_and_unless", f'(sum by (app) (count_over_time({ALL}[1h])) and on (app) sum by (app) (count_over_time({ALL} |= "retry" [1h]))) unless on (app) sum by (app) (count_over_time({ALL} |= "lease" [1h]))', ["app"], "SELECT app, t AS step, count(*)::DOUBLE AS value FROM w GROUP BY ALL HAVING bool_or(contains(line, 'retry')) AND NOT bool_or(contains(line, 'lease'))")
+logql("logql_or_vector", f'sum(count_over_time({ALL} |= "panicked" [1h])) or vector(0)', [], "SELECT g.t AS step, count(*) FILTER (contains(line, 'panicked'))::DOUBLE AS value FROM g LEFT JOIN w ON g.t = w.t GROUP BY 1")
+logql("logql_label_replace", f'sum by (team) (label_replace(sum by (namespace) (count_over_time({ALL}[1h])), "team", "$1", "namespace", "([a-z]+)-.*"))', ["team"], "SELECT regexp_extract(namespace, '^([a-z]+)-.*$', 1) AS team, t AS step, count(*)::DOUBLE AS value FROM w GROUP BY ALL")
+logql("logql_division_by_zero", f"sum by (app) (count_over_time({ALL}[1h])) / 0", ["app"], "SELECT app, t AS step, 0.0::DOUBLE AS value FROM w WHERE false")
+logql("logql_pattern", f'sum by (code) (count_over_time({ALL} |= "lease renewed until" | pattern "<_>renewed until <code>:<_>" | code=~"[0-9][0-9]" | keep code [1h]))', ["code"], "SELECT regexp_extract(line, '^.*?renewed until ([^:]*):', 1) AS code, t AS step, count(*)::DOUBLE AS value FROM w WHERE contains(line, 'lease renewed until') AND regexp_matches(regexp_extract(line, '^.*?renewed until ([^:]*):', 1), '^[0-9][0-9]$') GROUP BY ALL")
+logql("logql_line_format", f'sum by (app) (bytes_over_time({ALL} |= "lease" | line_format "{{{{.app}}}}: {{{{ __line__ | ToUpper | trunc 5 }}}}" [1h]))', ["app"], "SELECT app, t AS step, sum(strlen(app || ': ' || upper(substr(line, 1, 5))))::DOUBLE AS value FROM w WHERE contains(line, 'lease') GROUP BY ALL")
+logql("logql_label_format", f'sum by (unit) (count_over_time({ALL} | label_format unit="{{{{ .app | trunc 4 }}}}-{{{{ .namespace }}}}" | keep unit [1h]))', ["unit"], "SELECT substr(app, 1, 4) || '-' || namespace AS unit, t AS step, count(*)::DOUBLE AS value FROM w GROUP BY ALL")
+logql("logql_json", f'sum by (level) (count_over_time({ALL} |~ "^[{{].*[}}]$" | json level="level" | __error__="" | keep level [1h]))', ["level"], "SELECT nullif(json_extract_string(line, '$.level'), '') AS level, t AS step, count(*)::DOUBLE AS value FROM w WHERE regexp_matches(line, '^[{].*[}]$') AND json_valid(line) GROUP BY ALL")
+
+traceql("traceql_or", "{ status = error } || { duration > 1s }", WHERE + "coalesce(status = 'error', false) OR dur > 1000000000")
+traceql("traceql_arithmetic", "{ duration * 2 + 10ms > 1s - 5ms }", WHERE + "dur * 2 + 10000000 > 995000000")
+traceql("traceql_not", '{ !(.http.method = "GET") && kind = client }', WHERE + "NOT coalesce(tags['http.method'] = 'GET', false) AND coalesce(kind = 'client', false)")
+QUERIES["traceql_not_descendant"] = lambda spark, d: matched_spans(model.spans(spark, d), '{ name = "query" } !>> { status = error }').select("trace_id", "span_id")
+ORACLES["traceql_not_descendant"] = ORACLES["traceql_descendant"].replace("AND (t, s) IN", "AND (t, s) NOT IN")
+traceql("traceql_not_sibling", "{ status = error } !~ { kind = client }", "SELECT t AS trace_id, s AS span_id FROM x WHERE kind = 'client' AND NOT EXISTS (SELECT 1 FROM x a WHERE a.t = x.t AND a.p = x.p AND a.p <> '' AND a.s <> x.s AND a.status = 'error')")
+traceql("traceql_coalesce", "{} | by(name) | coalesce() | count() > 10", ", k AS (SELECT t FROM x GROUP BY t HAVING count(*) > 10) " + WHERE + "t IN (SELECT t FROM k)")
+traceql("traceql_min_max", "{} | max(duration) - min(duration) > 500ms", ", k AS (SELECT t FROM x GROUP BY t HAVING max(dur) - min(dur) > 500000000) " + WHERE + "t IN (SELECT t FROM k)")
+traceql("traceql_sum", "{ kind = client } | sum(duration) >= 1s", ", k AS (SELECT t FROM x WHERE kind = 'client' GROUP BY t HAVING sum(dur) >= 1000000000) " + WHERE + "kind = 'client' AND t IN (SELECT t FROM k)")
+traceql("traceql_pipeline_filter", "{ kind = server } | { status = error }", WHERE + "kind = 'server' AND status = 'error'")
+traceql("traceql_root_name", '{ rootName = "query" && status = error }', ", r AS (SELECT t, arg_min(name, (start, s)) AS root FROM x WHERE NOT EXISTS (SELECT 1 FROM x q WHERE q.t = x.t AND q.s = x.p) GROUP BY t) " + WHERE + "status = 'error' AND t IN (SELECT t FROM r WHERE root = 'query')")
+
+
+def traceql_nested_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Spans that are leaves by their nested-set numbers."""
+    return matched_spans(model.spans(spark, d), "{ nestedSetRight - nestedSetLeft = 1 }").select("trace_id", "span_id")
+
+
+QUERIES["traceql_nested_sets"] = traceql_nested_sets
+ORACLES["traceql_nested_sets"] = SPANS.replace("WITH s AS", "WITH RECURSIVE s AS") + ", u AS (SELECT t, s FROM x WHERE p = '' UNION SELECT x.t, x.s FROM x JOIN u ON x.t = u.t AND x.p = u.s) SELECT t AS trace_id, s AS span_id FROM u WHERE NOT EXISTS (SELECT 1 FROM x c WHERE c.t = u.t AND c.p = u.s)"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skein.functions import templates
 from skein.functions.logtokens import COLOUR
 from skein.functions.numbers import parse_bytes, parse_duration, parse_float
-from skein.functions.regex import to_java
+from skein.functions.regex import to_java, to_python
 from skein.functions.words import analyse
 
 ERRORS = ("__error__", "__error_details__", "__preserve_error__")
@@ -160,7 +160,7 @@ def loose_regex(pattern: str):
             text = o.removeprefix(".*").removesuffix(".*")
             tests.append((text, text != o or shared))
         return lambda v: any(t in v if part else t == v for t, part in tests)
-    compiled = re.compile(pattern)
+    compiled = re.compile(to_python(pattern))
     return lambda v: compiled.fullmatch(v) is not None
 
 
@@ -238,7 +238,7 @@ def selected(name: str, items, row: Row) -> bool:
             if op is None:
                 return True
             have = row.get(name) or ""
-            hit = re.fullmatch(value, have) is not None if op in ("=~", "!~") else have == value
+            hit = re.fullmatch(to_python(value), have) is not None if op in ("=~", "!~") else have == value
             if hit == (op in ("=", "=~")):
                 return True
     return False
@@ -256,7 +256,7 @@ def compiled(stage: tuple):
             elif op in ("|=", "!="):
                 tests.append(lambda s, t=text: t in s)
             elif op in ("|~", "!~"):
-                tests.append(lambda s, c=re.compile(text): c.search(s) is not None)
+                tests.append(lambda s, c=re.compile(to_python(text)): c.search(s) is not None)
             else:
                 tests.append(lambda s, t=text: pattern_matches(t, s))
         positive = op[0] == "|"
@@ -288,7 +288,7 @@ def compiled(stage: tuple):
 
         return parse_logfmt
     if kind == "regexp":
-        c = re.compile(stage[1].replace("(?<", "(?P<") if "(?P<" not in stage[1] else stage[1])
+        c = re.compile(to_python(stage[1]))
         return lambda r: [r.merge({k: v for k, v in m.groupdict().items() if v is not None}) for m in [c.search(r.line)] if m] is not None
     if kind == "pattern":
         return lambda r: r.merge(pattern_fields(stage[1], r.line)) is None
