@@ -64,7 +64,7 @@ class Centroids:
         sample = good.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vector").collect()  # at most FIT_ROWS
         size = max((len(r.vector) for r in sample), default=0)
         x = np.array([r.vector for r in sample if len(r.vector) == size], np.float64).reshape(-1, size)
-        x = self._unit(x)
+        x = self._unit(x[np.isfinite(x).all(1)])
         rng = np.random.default_rng(seed)
         c = x[rng.choice(len(x), min(lists, len(x)), replace=False)] if len(x) else np.zeros((1, size))
         for _ in range(FIT_ROUNDS):
@@ -73,16 +73,34 @@ class Centroids:
         self.centroids = c
         metric_unit = self._unit
 
-        @F.pandas_udf(T.IntegerType())
-        def assign(vectors: pd.Series) -> pd.Series:
+        @F.pandas_udf("list int, away double")
+        def assign(vectors: pd.Series) -> pd.DataFrame:
             fits = vectors.map(lambda v: v is not None and len(v) == c.shape[1]).to_numpy(bool)
-            out = np.full(len(vectors), -1)
+            out, away = np.full(len(vectors), -1), np.full(len(vectors), np.nan)
             if fits.any():
                 v = metric_unit(np.stack(vectors[fits].to_list()).astype(np.float64))
                 out[fits] = np.argmin((c**2).sum(1) - 2 * v @ c.T, axis=1)
-            return pd.Series(out)
-
-        self.rows = rows.withColumn("_list", assign("vector"))
+                away[fits] = np.sqrt(((v - c[out[fits]]) ** 2).sum(1))
+            return pd.DataFrame({"list": out, "away": away})
+
+        self.rows = rows.withColumn("_near", assign("vector"))
+        self._radii: dict[int, float] | None = None
+
+    def radii(self) -> dict[int, float]:
+        """The distance of each list's farthest row from its centroid, over all rows. Rows that are NaN don't rank."""
+        if self._radii is None:
+            near = self.rows.select(F.col("_near.list").alias("k"), F.col("_near.away").alias("r")).filter((F.col("k") >= 0) & ~F.isnan("r"))
+            self._radii = {x.k: x.r for x in near.groupBy("k").agg(F.max("r").alias("r")).collect()}  # one row a list
+        return self._radii
+
+    def _least(self, q: np.ndarray, k: int) -> float:
+        """No row of list ``k`` has a smaller $dist from ``q``, by the triangle inequality."""
+        c, r = self.centroids[k], self.radii().get(k)
+        if r is None:
+            return np.inf
+        if self.metric == "dot":
+            return -float(c @ q) - r * float(np.linalg.norm(q))
+        return max(float(np.linalg.norm(c - q)) - r, 0.0) ** 2 / (2 if self.metric == "cosine" else 1)
 
     def _unit(self, x: np.ndarray) -> np.ndarray:
         if self.metric != "cosine":
@@ -91,21 +109,28 @@ class Centroids:
         return x / np.where(n == 0, 1, n)
 
     def search(self, query: list[float], top_k: int = DEFAULT_TOP_K, probes: int = 8, epsilon: float = 0.2, where=None) -> DataFrame:
-        """Top rows of the ``probes`` nearest lists that lie within (1 + epsilon) of the nearest centroid's distance.
+        """The top rows of all lists, exactly. First come the ``probes`` nearest lists that lie within (1 + epsilon) of
+        the nearest centroid's distance; then every other list that by its radius can hold a row as near as the last
+        of those found.
 
         A small filtered set is searched whole; if the lists hold too few rows, four times as many are probed.
         """
         chosen = filters.apply(self.rows, where)
         if where is not None and is_small(chosen.select("id"), EXACT_ROWS):
-            return knn(chosen.drop("_list"), query, top_k, self.metric)
+            return knn(chosen.drop("_near"), query, top_k, self.metric)
         q = self._unit(np.asarray([query], np.float64))[0]
         d = ((self.centroids - q) ** 2).sum(1)
         order = np.argsort(d, kind="stable")
+        within = lambda lists: knn(chosen.filter(F.col("_near.list").isin(*lists)).drop("_near"), query, top_k, self.metric)
         while True:
             near = [int(k) for k in order[:probes] if d[k] <= d[order[0]] * (1 + epsilon) ** 2 or probes >= len(order)]
-            found = chosen.filter(F.col("_list").isin(*near))
-            if probes >= len(order) or found.select("id").limit(top_k).count() >= top_k:
-                return knn(found.drop("_list"), query, top_k, self.metric)
+            if probes >= len(order):
+                return within(near)
+            found = [r["$dist"] for r in within(near).select("`$dist`").collect()]  # at most top_k rows
+            if len(found) >= top_k:
+                last = max(found)
+                others = [k for k in range(len(order)) if k not in near and not self._least(q, k) > last + 1e-9 * (1 + abs(last))]
+                return within(near + others)
             probes *= 4
             epsilon *= 2
 

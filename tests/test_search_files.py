@@ -98,6 +98,18 @@ def test_centroid_search_recall(spark):
     assert set(ids(index.search(x[0].tolist(), 10, where=["half", "Eq", 1]))) == set(ids(rank.knn(df, x[0].tolist(), 10, where=["half", "Eq", 1])))
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_centroid_search_loses_no_neighbour(spark, metric):
+    rng = np.random.default_rng(5)
+    near, far = rng.standard_normal((600, 16)), 40 + 0.1 * rng.standard_normal((200, 16)) * np.arange(1, 17)
+    x = [*np.concatenate([near, far]).tolist(), [float("nan")] * 16, [0.0] * 16, [1.0] * 3, None]
+    df = spark.createDataFrame([(f"i{n:04d}", v, n % 2) for n, v in enumerate(x)], "id string, vector array<float>, half int").cache()
+    index = rank.Centroids(df, 16, metric)
+    for q in (0, 7, 300, 650):
+        for probes in (1, 8):
+            assert ids(index.search(x[q], 20, probes=probes)) == ids(rank.knn(df, x[q], 20, metric)), (q, probes)
+
+
 def test_write_log(spark):
     log = spark.createDataFrame([], "id string, seq long, deleted boolean, vector array<float>, price long")
     log = vs.upsert(log, spark.createDataFrame([("a", [1.0], 1), ("b", [2.0], 2)], "id string, vector array<float>, price long"), 1)
