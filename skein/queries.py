@@ -20,17 +20,16 @@ def p1_requests(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("namespace").agg(F.count("*").alias("n_batches"), F.sum("n_samples").alias("n_samples"))
 
 
-def _grid(spark: SparkSession, d: str) -> DataFrame:
+def _grid(spark: SparkSession, d: str, within_days: bool) -> DataFrame:
     readings = regrid.counted_samples(table(spark, d, "samples"), table(spark, d, "metric_series"))
-    return regrid.regular_grid(readings, max_gap_ms=300_000)
+    return regrid.regular_grid(readings, max_gap_ms=300_000, within_days=within_days)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return regrid.missing_periods(_grid(spark, d))
+    return regrid.missing_periods(_grid(spark, d, within_days=True), within_days=True)
 
 
-def p2_grid(spark: SparkSession, d: str) -> DataFrame:
-    grid = _grid(spark, d)
+def _kinds(grid: DataFrame) -> DataFrame:
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return grid.groupBy("series_id").agg(
         F.count("*").alias("periods"), n(F.col("observed")).alias("observed"), n(F.col("filled")).alias("filled"),
@@ -38,6 +37,16 @@ def p2_grid(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Of the periods within the days."""
+    return _kinds(_grid(spark, d, within_days=True))
+
+
+def p2_series(spark: SparkSession, d: str) -> DataFrame:
+    """Of every period from a series' first reading to its last."""
+    return _kinds(_grid(spark, d, within_days=False))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return logparse.parse(table(spark, d, "log_entries")).select("entry_id", "last_entry_id", "event_ms", "level", "component")
 
@@ -82,7 +91,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_grid, p3_found, p4_found, p4_statistics, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_grid, p2_series, p3_found, p4_found, p4_statistics, p5_found)}
 
 _P1 = """
 WITH w AS (SELECT *, lower(regexp_replace(request_id, '^\\s+|\\s+$', '', 'g')) AS rid FROM write_batches),
@@ -117,6 +126,11 @@ ORACLES = {
         FROM g LEFT JOIN b ON g.series_id = b.series_id AND g.p = b.p)
         SELECT series_id, count(*) AS periods, count(*) FILTER (ok) AS observed, count(*) FILTER (NOT ok AND p - seen <= 300000) AS filled,
         count(*) FILTER (NOT ok AND p - seen > 300000) AS marked FROM o GROUP BY 1""",
+    "p2_series": _P2 + """, h AS (SELECT series_id, unnest(generate_series(min(p), max(p), interval_ms)) AS p FROM b GROUP BY series_id, interval_ms),
+        o AS (SELECT h.*, b.p IS NOT NULL AS ok, max(b.p) OVER (PARTITION BY h.series_id ORDER BY h.p) AS seen
+        FROM h LEFT JOIN b ON h.series_id = b.series_id AND h.p = b.p)
+        SELECT series_id, count(*) AS periods, count(*) FILTER (ok) AS observed, count(*) FILTER (NOT ok AND p - seen <= 300000) AS filled,
+        count(*) FILTER (NOT ok AND p - seen > 300000) AS marked FROM o GROUP BY 1""",
     "p4_found": _P4 + """SELECT src, namespace, p AS period_start_ms, count(*) FILTER (us < (p + 300000) * 1000) AS first_count,
         count(*) FILTER (us < (p + 2100000) * 1000) AS final_count, count(*) FILTER (us >= (p + 2100000) * 1000) AS dropped_count
         FROM k GROUP BY 1, 2, 3 HAVING count(*) FILTER (us >= (p + 300000) * 1000) > 0""",

@@ -84,6 +84,17 @@ def test_grid_days_are_apart_and_negative_times(spark):
     assert missing == [-20_000]
 
 
+def test_grid_covers_the_whole_span(spark, monkeypatch):
+    monkeypatch.setattr(regrid, "CHUNK", 4)
+    a, day = [("__name__", "m"), ("x", "1")], regrid.DAY_MS
+    points = [(a, day - 10_000, 1.0, False), (a, day + 20_000, 2.0, False), (a, 3 * day, 3.0, False)]
+    rows = {r.period_start_ms: r for r in grid(spark, points).collect()}
+    assert sorted(rows) == list(range(day - 10_000, 3 * day + 1, 10_000))
+    assert rows[day].filled and rows[day].value == 1.0 and rows[day + 10_000].filled
+    assert [t for t in sorted(rows) if rows[t].filled] == [day, day + 10_000, day + 30_000, day + 40_000, day + 50_000]
+    assert rows[2 * day].value is None and not rows[2 * day].observed
+
+
 def test_grid_long_gap_crosses_chunks_and_empty(spark):
     a = [("__name__", "m"), ("x", "1")]
     assert regrid.missing_periods(grid(spark, [(a, 0, 1.0, False), (a, 50_000_000, 1.0, False)], interval=1000)).count() == 49_999
