@@ -83,6 +83,11 @@ def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
     return late.statistics(_late_state(spark, d).filter(F.col("src") == "log"), ["src", "namespace"])
 
 
+def p4_statistics_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of both sources: values of samples, byte lengths of log lines."""
+    return late.statistics(_late_state(spark, d), ["src", "namespace"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = hierarchy.resolve(hierarchy.span_links(table(spark, d, "spans")))
     return found.select(
@@ -91,7 +96,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_grid, p2_series, p3_found, p4_found, p4_statistics, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_grid, p2_series, p3_found, p4_found, p4_statistics, p4_statistics_all, p5_found)}
 
 _P1 = """
 WITH w AS (SELECT *, lower(regexp_replace(request_id, '^\\s+|\\s+$', '', 'g')) AS rid FROM write_batches),
@@ -137,6 +142,9 @@ ORACLES = {
     "p4_statistics": _P4 + """SELECT src, namespace, p AS period_start_ms, count(value) AS n, count(DISTINCT value) AS distinct_values,
         min(value)::DOUBLE AS minimum, max(value)::DOUBLE AS maximum, quantile_disc(value, 0.5)::DOUBLE AS median
         FROM k WHERE src = 'log' AND us < (p + 2100000) * 1000 AND value IS NOT NULL GROUP BY 1, 2, 3""",
+    "p4_statistics_all": _P4 + """SELECT src, namespace, p AS period_start_ms, count(value) AS n, count(DISTINCT value) AS distinct_values,
+        min(value)::DOUBLE AS minimum, max(value)::DOUBLE AS maximum, quantile_disc(value, 0.5)::DOUBLE AS median
+        FROM k WHERE us < (p + 2100000) * 1000 AND value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2, 3""",
     "p5_found": """
 WITH RECURSIVE l AS (
   SELECT lower(trace_id) AS t, lower(span_id) AS s,

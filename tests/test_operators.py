@@ -201,6 +201,15 @@ def test_late_state_corrects_and_merges(spark):
         assert stats[k] == (len(vs), len(set(vs)), vs[0], vs[-1], vs[(len(vs) - 1) // 2])
 
 
+def test_statistics_of_both_sources(spark, tmp_path):
+    at, ms = T0 + dt.timedelta(minutes=1), 1_736_121_600_000
+    values = [1.5, 2.5, 2.5, float("nan"), None, float("inf")]
+    spark.createDataFrame([(i, "n", ms + i, v, at) for i, v in enumerate(values)], "sample_id long, namespace string, timestamp_ms long, value double, ingested_at timestamp_ntz").write.parquet(f"{tmp_path}/samples.parquet")
+    spark.createDataFrame([(1, "n", ms * 10**6, "four", at)], "entry_id long, namespace string, timestamp_ns long, line string, ingested_at timestamp_ntz").write.parquet(f"{tmp_path}/log_entries.parquet")
+    rows = {r.src: (r.n, r.distinct_values, r.minimum, r.maximum, r.median) for r in queries.QUERIES["p4_statistics_all"](spark, str(tmp_path)).collect()}
+    assert rows == {"sample": (4, 3, 1.5, float("inf"), 2.5), "log": (1, 1, 4.0, 4.0, 4.0)}
+
+
 def test_first_arrivals(spark):
     df = spark.createDataFrame([(1, "a", T0 + dt.timedelta(1)), (1, "a", T0), (1, "a", None), (2, "b", None)], "id long, v string, at timestamp_ntz")
     got = late.first_arrivals(df, ["id"], "at", ["v"]).collect()
