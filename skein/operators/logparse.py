@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,11 +20,14 @@ from skein.runtime import cut
 CHUNK_IDS = 1 << 17
 #: Step 2 splits only on a position with at most this many values; beyond it the position is a variable.
 SPLIT_VALUES = 64
+#: Rows of an object that is cut off: an opening or closing sign or a string, or a bare value.
+OBJECT_ROW = re.compile(r'\s*(?:["{}\[\]]|(?:-?\d[\d.eE+-]*|true|false|null)\s*,?\s*$)')
+_decoder = json.JSONDecoder(strict=False)
 
 
 def entries(logs: DataFrame) -> DataFrame:
-    """One row per entry: entry_id, last_entry_id, line (first row), text (first row, or the rows of a JSON object
-    written over several), timestamp_ns, component_label.
+    """One row per entry: entry_id, last_entry_id, line (first row), timestamp_ns, component_label, rest (its further
+    rows, in order), json (whether the first row begins a JSON object written over several).
 
     A row belongs to the last opening row before it in its stream (namespace, labels with a value). The look-back
     runs in windows over (stream, block of ids); what a block inherits comes from a window over one row per block,
@@ -50,27 +55,44 @@ def entries(logs: DataFrame) -> DataFrame:
     earlier = Window.partitionBy(*stream).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select(*stream, "_block", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
     rows = rows.join(carried, [*stream, "_block"], "left").withColumn("_own", F.coalesce("_own", "_carry")).filter(F.col("_own").isNotNull())
-    part = F.when(F.col("_own.json") & (F.col("_opens") | F.col("line").rlike(r'^\s*["{}\[\]]')), F.struct("entry_id", "line"))
     head = F.when(F.col("_opens"), F.struct("line", "timestamp_ns", "component_label"))
-    pieces = F.array_sort(F.collect_set(part))
+    further = F.array_sort(F.collect_set(F.when(F.col("entry_id") > F.col("_own.entry_id"), F.struct("entry_id", "line"))))
     return (
         rows.groupBy(F.col("_own.entry_id").alias("entry_id"))
-        .agg(F.max("entry_id").alias("last_entry_id"), F.max(head).alias("_h"), pieces.alias("_p"))
-        .select(
-            "entry_id", "last_entry_id", "_h.line", "_h.timestamp_ns", "_h.component_label",
-            F.when(F.size("_p") > 1, F.array_join(F.transform("_p", lambda p: p["line"]), "\n")).otherwise(F.col("_h.line")).alias("text"),
-        )
-    )
+        .agg(F.max("entry_id").alias("last_entry_id"), F.max(head).alias("_h"), F.max("_own.json").alias("json"), further.alias("_f"))
+        .select("entry_id", "last_entry_id", "_h.line", "_h.timestamp_ns", "_h.component_label", F.transform("_f", lambda p: p["line"]).alias("rest"), "json")
+    )
+
+
+def _object_end(text: str) -> int | None:
+    try:
+        return _decoder.raw_decode(text)[1]
+    except (ValueError, RecursionError):
+        return None
+
+
+def _parts(line: str, rest: list[str], is_json: bool) -> tuple[str, str]:
+    """(text that states the fields, what follows it) of an entry; the text is its first row or its JSON object."""
+    if not is_json:
+        return line, "\n".join(map(lt.plain, rest))
+    whole = lt.plain("\n".join([line, *rest]))
+    if (end := _object_end(whole)) is not None:
+        return whole[:end], whole[end:]
+    inside = [OBJECT_ROW.match(r) is not None for r in rest]
+    return "\n".join([line, *[r for r, x in zip(rest, inside, strict=True) if x]]), "\n".join(r for r, x in zip(rest, inside, strict=True) if not x)
 
 
 def _masks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        kinds, masks = [], []
-        for text in b["text"]:
+        kinds, masks, texts, tails = [], [], [], []
+        for first, rest, is_json in zip(b["line"], b["rest"], b["json"], strict=True):
+            text, tail = _parts(first, list(rest), bool(is_json))
+            texts.append(text)
+            tails.append(tail)
             line = lt.plain(text)
             kinds.append(kind := lt.layout(line))
             masks.append([lt.mask(k, w) for k, w in lt.fields(line, kind)])
-        yield b.assign(kind=kinds, masks=masks)
+        yield b.drop(columns=["line", "rest", "json"]).assign(text=texts, tail=tails, kind=kinds, masks=masks)
 
 
 def templates(masked: DataFrame) -> DataFrame:
@@ -129,13 +151,24 @@ def slots(leaves: DataFrame) -> DataFrame:
     )
 
 
+def _message(line: str, kind: str, message: str, tail: str) -> str:
+    """The header's message, then the entry's further lines: of the same row behind keyed fields, and its further rows."""
+    parts = [message]
+    if kind != "words" and message != line and "\n" in line:
+        end = _object_end(line) if kind == "json" else line.index("\n")
+        parts.append(line[end:] if end is not None else "")
+    parts.append(lt.plain(tail))
+    return "\n".join(p for p in (parts[0], *(x.strip("\r\n") for x in parts[1:])) if p.strip())
+
+
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         years = pd.to_datetime(b["timestamp_ns"].fillna(0), unit="ns").dt.year.tolist()
-        for text, year, kind, role in zip(b["text"], years, b["kind"], b["role"], strict=True):
+        for text, tail, year, kind, role in zip(b["text"], b["tail"], years, b["kind"], b["role"], strict=True):
             line = lt.plain(text)
-            out.append(lt.extract(line, lt.fields(line, kind), dict(role), year))
+            *found, message = lt.extract(line, lt.fields(line, kind), dict(role), year)
+            out.append((*found, _message(line, kind, message, tail)))
         event, level, name, message = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
         yield pd.DataFrame({
             "entry_id": b["entry_id"], "last_entry_id": b["last_entry_id"], "timestamp_ns": b["timestamp_ns"], "component_label": b["component_label"],
@@ -147,14 +180,16 @@ def parse(logs: DataFrame) -> DataFrame:
     """entry_id, last_entry_id, event_ms, level, component, message, template: one row per entry.
 
     ``template`` identifies the leaf whose slots gave the fields. event_ms falls back to the row's timestamp_ns,
-    level to 'unknown', component to the stream's label ``component`` (null if it has none). Lines are read whole.
+    level to 'unknown', component to the stream's label ``component`` (null if it has none). Lines are read whole; ``message`` goes on with the further rows of the entry.
     """
     found = entries(logs)
-    masked = found.mapInPandas(_masks, T.StructType([*found.schema, T.StructField("kind", T.StringType()), T.StructField("masks", T.ArrayType(T.StringType()))]))
+    kept = [f for f in found.schema if f.name not in ("line", "rest", "json")]
+    texts = [T.StructField(n, T.StringType()) for n in ("text", "tail", "kind")]
+    masked = found.mapInPandas(_masks, T.StructType([*kept, *texts, T.StructField("masks", T.ArrayType(T.StringType()))]))
     masked = cut(masked.withColumn("mask_key", F.md5(F.concat_ws("\x01", "kind", F.array_join("masks", "\x02")))))
     distinct = masked.groupBy("mask_key").agg(F.any_value(F.struct("kind", "masks")).alias("m")).select("mask_key", "m.*")
     leaves = cut(templates(distinct))
-    rows = masked.drop("masks", "line").join(slots(leaves), "mask_key")
+    rows = masked.drop("masks").join(slots(leaves), "mask_key")
     fields = rows.mapInPandas(
         _extract, "entry_id long, last_entry_id long, timestamp_ns long, component_label string, event long, level string, name string, message string, template long"
     )

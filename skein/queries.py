@@ -51,6 +51,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return logparse.parse(table(spark, d, "log_entries")).select("entry_id", "last_entry_id", "event_ms", "level", "component")
 
 
+def p3_messages(spark: SparkSession, d: str) -> DataFrame:
+    return logparse.parse(table(spark, d, "log_entries")).select("entry_id", "message")
+
+
 PERIOD_MS, CUTOFF_MS = 300_000, 1_800_000
 
 
@@ -96,7 +100,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_grid, p2_series, p3_found, p4_found, p4_statistics, p4_statistics_all, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_grid, p2_series, p3_found, p3_messages, p4_found, p4_statistics, p4_statistics_all, p5_found)}
 
 _P1 = """
 WITH w AS (SELECT *, lower(regexp_replace(request_id, '^\\s+|\\s+$', '', 'g')) AS rid FROM write_batches),

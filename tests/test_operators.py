@@ -158,6 +158,14 @@ def test_entries_over_rows(spark):
     assert got == {2: (7, 1736121697770, "warn", "sharding::lease"), 8: (13, 1736121662034, "warn", "l.g"), 14: (14, 1736121696848, "debug", "dev.Main")}
 
 
+def test_message_of_entries_over_rows(spark):
+    lines = [CASES[0][0], "\tat x.Y(Z.java:1)", "", "\x1b[31mCaused by: z\x1b[0m\r", "{", '  "level": "warn",', '  "list": [', "1,", "null", "  ],", '  "msg": "m"', "}", "goroutine 1 [running]:"]
+    lines += ['level=info msg="x"\n  more', "last", '{"level":"info","msg":"cut",', "12,", "at q"]
+    df = entries(spark, lines)
+    got = {r.entry_id: r.message for r in logparse.parse(df.unionByName(df)).collect()}
+    assert got == {1: "limit reached\n\tat x.Y(Z.java:1)\nCaused by: z", 5: "m\ngoroutine 1 [running]:", 14: "x\n  more\nlast", 16: "cut\nat q"}
+
+
 def test_blocks_repeats_and_streams(spark, monkeypatch):
     monkeypatch.setattr(logparse, "CHUNK_IDS", 2)
     lines = [CASES[0][0]] + ["  more"] * 9 + [CASES[1][0]]
