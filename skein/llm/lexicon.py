@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 
@@ -24,14 +25,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word by byte-pair merging: always the pair of lowest rank, the leftmost of equals."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-        if parts[best] + parts[best + 1] not in ranks:
-            break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
-    return [ranks[p] for p in parts]
+    """Ids of one word by byte-pair merging: always the pair of lowest rank, the leftmost of equals.
+
+    Parts form a linked list and mergeable pairs a heap, so a word of n bytes takes O(n log n) steps, however long it
+    is. A pair in the heap counts only while its two parts still begin and end where they did.
+    """
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a place
+    heap = [(ranks[word[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
+    heapify(heap)
+    while heap:
+        _, left, right, stop = heappop(heap)
+        if end[left] != right or right >= n or end[right] != stop:
+            continue
+        end[left], end[right] = stop, -1
+        if stop < n:
+            before[stop] = left
+            if (rank := ranks.get(word[left : end[stop]])) is not None:
+                heappush(heap, (rank, left, stop, end[stop]))
+        if (at := before[left]) >= 0 and (rank := ranks.get(word[at:stop])) is not None:
+            heappush(heap, (rank, at, left, stop))
+    out, at = [], 0
+    while at < n:
+        out.append(ranks[word[at : end[at]]])
+        at = end[at]
+    return out
 
 
 class Automaton:

@@ -137,3 +137,17 @@ def encode(docs: DataFrame, key: str, text: str = "text", ranks: str | None = No
 
     rows = docs.select(key, text)
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
+def decode(encoded: DataFrame, key: str, ranks: str | None = None) -> DataFrame:
+    """``key`` and text (string) of rows with ids; a null or empty list gives the empty text."""
+    path = ranks or f"{TOKENIZERS}/{RANKS}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = {rank: word for word, rank in lx.read_ranks(path).items()}
+        for batch in batches:
+            texts = [b"".join(map(words.__getitem__, ids or [])).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
+
+    rows = encoded.select(key, "ids")
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("text", T.StringType())]))
