@@ -9,11 +9,12 @@ distance from that tail; sketches of tasks, files or days merge level by level w
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,55 +141,155 @@ class Sketch:
         return s
 
 
-def sketches(df: DataFrame, keys: list[str], value: Column, k: int = K, high: bool = True) -> DataFrame:
+class Ends:
+    """Two sketches of the same values, one protecting each tail; as long as nothing was compacted one holds them all.
+
+    Shares below one half are read from the sketch that protects the low tail.
+    """
+
+    def __init__(self, k: int = K, seed: int = 1):
+        self.low, self.high = Sketch(k, False, seed), Sketch(k, True, seed + 1)
+
+    def add(self, values: np.ndarray) -> None:
+        self.low.add(values)
+        self.high.add(values)
+
+    @property
+    def n(self) -> int:
+        return self.high.n
+
+    @property
+    def kept(self) -> int:
+        return self.low.kept + self.high.kept
+
+    def merge(self, other: Ends) -> Ends:
+        self.low.merge(other.low)
+        self.high.merge(other.high)
+        return self
+
+    def quantiles(self, shares: list[float]) -> list[float | None]:
+        low, high = self.low.quantiles(shares), self.high.quantiles(shares)
+        return [a if q < 0.5 else b for q, a, b in zip(shares, low, high, strict=True)]
+
+    def to_bytes(self) -> bytes:
+        high = self.high.to_bytes()
+        return struct.pack("<i", len(high)) + high + (self.low.to_bytes() if len(self.high.levels) > 1 or len(self.low.levels) > 1 else b"")
+
+    @classmethod
+    def from_bytes(cls, data: bytes, seed: int = 1) -> Ends:
+        size = struct.unpack_from("<i", data)[0]
+        ends = cls.__new__(cls)
+        ends.high = Sketch.from_bytes(data[4 : 4 + size], seed + 1)
+        ends.low = Sketch.from_bytes(data[4 + size :] if len(data) > 4 + size else data[4 : 4 + size], seed)
+        ends.low.high = False
+        return ends
+
+
+def _seed(*parts: object) -> int:
+    """Of the task and the group, so that the coins of different sketches are independent and errors cancel out."""
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=7).digest(), "little")
+
+
+def sketches(df: DataFrame, keys: list[str], value: Column, k: int = K) -> DataFrame:
     """keys, part, n, sketch: partial sketches per group, made in one pass over each partition, without a shuffle.
 
     Null and NaN values don't count; infinite ones do. Null keys are a group of their own. Repeated rows count each.
-    A task hands its sketches on when they hold TASK_ITEMS items, so many groups don't grow its memory.
+    A task holds values by the numbers of their groups, up to TASK_ITEMS of them, then sorts them by group and gives each
+    sketch its values at once; when the sketches hold TASK_ITEMS items they are handed on, so many groups don't grow
+    its memory. ``part`` spreads the sketches of a group over the first merge.
     """
     rows = df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, Sketch] = {}
-        part = 0
-
-        def out() -> pd.DataFrame:
-            frame = pd.DataFrame(list(held), columns=keys)
-            return frame.assign(part=part, n=[s.n for s in held.values()], sketch=[s.to_bytes() for s in held.values()])
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() % MERGE_PARTS
+        task = TaskContext.get().partitionId()
+        numbers: dict[tuple, int] = {}
+        held: dict[int, Ends] = {}
+        codes: list[np.ndarray] = []
+        values: list[np.ndarray] = []
+        types: list[pa.DataType] = []
+
+        def settle() -> None:
+            code, value = np.concatenate(codes), np.concatenate(values)
+            codes.clear(), values.clear()
+            order = np.argsort(code, kind="stable")
+            code, value = code[order], value[order]
+            cuts = np.nonzero(code[1:] != code[:-1])[0] + 1
+            for group, part in zip(code[np.concatenate([[0], cuts])].tolist(), np.split(value, cuts), strict=True):
+                if group not in held:
+                    held[group] = Ends(k, _seed(task, group))
+                held[group].add(part)
+
+        def out() -> pa.RecordBatch:
+            names = list(numbers)
+            columns = [pa.array([names[g][i] for g in held], t) for i, t in enumerate(types)]
+            counts = [pa.array([task % MERGE_PARTS] * len(held), pa.int32()), pa.array([s.n for s in held.values()], pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, *counts, pa.array([s.to_bytes() for s in held.values()], pa.binary())], [*keys, "part", "n", "sketch"])
+
         for b in batches:
-            code = b.groupby(keys, dropna=False, sort=False)
-            for key, at in code.indices.items():
-                key = tuple(None if x != x else x for x in (key if isinstance(key, tuple) else (key,)))
-                if key not in held:
-                    held[key] = Sketch(k, high, seed=part + 1)
-                held[key].add(b["_v"].to_numpy()[at])
-            if sum(s.kept for s in held.values()) > TASK_ITEMS:
-                yield out()
-                held.clear()
+            if not len(b):
+                continue
+            types = [b.column(i).type for i in range(len(keys))]
+            coded = [b.column(i).dictionary_encode(null_encoding="encode") for i in range(len(keys))]
+            code, names = np.zeros(len(b), np.int64), [c.dictionary.to_pylist() for c in coded]
+            for c, own in zip(coded, names, strict=True):
+                code = code * len(own) + c.indices.to_numpy()
+            groups, local = np.unique(code, return_inverse=True)
+            own_numbers = np.zeros(len(groups), np.int64)
+            for at, g in enumerate(groups.tolist()):
+                key = []
+                for own in reversed(names):
+                    g, i = divmod(g, len(own))
+                    key.append(own[i])
+                own_numbers[at] = numbers.setdefault(tuple(reversed(key)), len(numbers))
+            codes.append(own_numbers[local])
+            values.append(b.column(len(keys)).to_numpy())
+            if sum(map(len, values)) >= TASK_ITEMS:
+                settle()
+                if sum(s.kept for s in held.values()) > TASK_ITEMS or len(numbers) > TASK_ITEMS:
+                    yield out()
+                    held.clear(), numbers.clear()
+        if values:
+            settle()
         if held:
             yield out()
 
-    return rows.mapInPandas(run, f"{kinds}, part int, n long, sketch binary")
+    return rows.mapInArrow(run, f"{kinds}, part int, n long, sketch binary")
 
 
 def merged(parts: DataFrame, keys: list[str], keep_part: bool = False) -> DataFrame:
-    """One sketch per group (and part): merges those of tasks, files or days."""
+    """One sketch per group (and part): merges those of tasks, files or days, which lie side by side in a sorted task."""
     by = [*keys, "part"] if keep_part else keys
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*by).schema)
+    rows = parts.select(*by, "n", "sketch")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, whole, done, schema = None, None, [], None
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k, _ in done], schema.types[i]) for i in range(len(by))]
+            both = [pa.array([s.n for _, s in done], pa.int64()), pa.array([s.to_bytes() for _, s in done], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, *both], schema.names)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = None
-        for data in sorted(pdf["sketch"], key=len, reverse=True):
-            s = Sketch.from_bytes(data, seed=len(pdf))
-            whole = s if whole is None else whole.merge(s)
-        return pd.DataFrame([[*key, whole.n, whole.to_bytes()]], columns=[*by, "n", "sketch"])
+        for b in batches:
+            schema = b.schema
+            for *own, data in zip(*[b.column(i).to_pylist() for i in range(len(by))], b.column(len(by) + 1).to_pylist(), strict=True):
+                if whole is not None and own == key:
+                    whole.merge(Ends.from_bytes(data))
+                    continue
+                if whole is not None:
+                    done.append((key, whole))
+                key, whole = own, Ends.from_bytes(data, _seed(own, len(by)))
+            if len(done) >= 256:
+                yield out()
+                done = []
+        if whole is not None:
+            done.append((key, whole))
+            yield out()
 
-    return parts.select(*by, "n", "sketch").groupBy(*by).applyInPandas(run, f"{kinds}, n long, sketch binary")
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, kinds)
 
 
 def combined(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -201,9 +302,10 @@ def read_out(sketched: DataFrame, shares: dict[str, float]) -> DataFrame:
     kept = [f for f in sketched.schema if f.name not in ("sketch", "part")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = [Sketch.from_bytes(x).quantiles(list(shares.values())) for x in b["sketch"]]
-            yield pd.concat([b[[f.name for f in kept]].reset_index(drop=True), pd.DataFrame(values, columns=list(shares))], axis=1)
+            values = [Ends.from_bytes(x).quantiles(list(shares.values())) for x in b.column(b.num_columns - 1).to_pylist()]
+            columns = [pa.array([v[i] for v in values], pa.float64()) for i in range(len(shares))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *columns], [f.name for f in kept] + list(shares))
 
-    return sketched.mapInPandas(run, kinds + "".join(f", `{s}` double" for s in shares))
+    return sketched.select(*[f.name for f in kept], "sketch").mapInArrow(run, kinds + "".join(f", `{s}` double" for s in shares))
