@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.runtime import shared_folder
+from skein.runtime import is_small, shared_folder
 
 #: Least length of a shared span, and length of the fingerprinted windows, in code points.
 SPAN, GRAM = 160, 64
@@ -20,6 +20,10 @@ SPAN, GRAM = 160, 64
 PIECE = 1 << 20
 #: Runs of one level that are compacted into one run of the next.
 FAN_IN = 4
+#: Batches in which a whole table enters a new index.
+BATCHES = 5
+#: Keys of documents with candidates are broadcast, to keep other texts out of the shuffle, if there are at most so many.
+FILTER_DOCS = 1 << 20
 
 # Multiplier of the rolling hash with its inverse modulo 2^64, and a public 64-bit mixer's constants.
 BASE = 0x5851F42D4C957F2D
@@ -85,33 +89,58 @@ def anchors(points: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int =
     return text[head], first[head] - begin, at[head] - first[head], count, grams[at[head]]
 
 
-def _anchor_rows(span: int, gram: int):
+def _settled(run: np.ndarray, hashed: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Rows whose hash two other documents of the same run have in these rows already: candidates beyond doubt."""
+    order = np.lexsort((doc, hashed, run))
+    r, h, d = run[order], hashed[order], doc[order]
+    group = np.ones(len(r), bool)
+    group[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+    other = np.cumsum(group | np.concatenate([[True], d[1:] != d[:-1]])[: len(d)])  # numbers the (run, hash, doc)
+    first = other[np.maximum.accumulate(np.where(group, np.arange(len(r)), 0))]
+    out = np.zeros(len(r), bool)
+    out[order] = other - first >= 2
+    return out
+
+
+def _anchor_rows(span: int, gram: int, level: int):
+    """Anchor rows of texts: input doc, text, run.
+
+    ``slot`` is the hash, by which runs are bucketed and sorted. Of the rows of a block of texts that share a hash those of
+    two documents keep it; the others are settled as candidates (``hot`` holds their hash) and get slots of their own, so
+    a passage in a third of all texts fills no bucket.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(pieces: list[tuple[int, int, str]], keys: np.ndarray) -> pa.RecordBatch:
+        def out(pieces: list[tuple[int, int, str]], keys: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
             points = np.frombuffer("".join(p[2] for p in pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
             text, first, offset, count, hashed = anchors(points, np.cumsum([len(p[2]) for p in pieces]), span, gram)
             row, shift = (np.array([p[i] for p in pieces], np.int64) for i in (0, 1))
-            columns = [hashed.view(np.int64), keys[row[text]], (first + shift[text]).astype(np.int32), offset.astype(np.int16), count.astype(np.int16)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc", "first", "offset", "windows"])
+            doc, batch, settled = keys[row[text]], runs[row[text]], np.zeros(len(text), bool)
+            if len(text):
+                settled = _settled(batch, hashed, doc)
+            slot = np.where(settled, _mix(hashed ^ _mix(doc.astype(np.uint64))), hashed).view(np.int64)
+            columns = [pa.array(slot), pa.array(hashed.view(np.int64), mask=~settled), *(pa.array(c) for c in (doc, (first + shift[text]).astype(np.int32), offset.astype(np.int16), count.astype(np.int16)))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(text), level, np.int32)), pa.array(batch.astype(np.int32))], SCHEMA.names)
 
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            keys, runs = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             pieces, size = [], 0
             for i, t in enumerate(batch.column(1).to_pylist()):
                 for at in range(0, max(1, len(t) - span + 1), PIECE):
                     part = t[at : at + PIECE + span - 1]
                     if size and size + len(part) > PIECE + span:
-                        yield out(pieces, keys)
+                        yield out(pieces, keys, runs)
                         pieces, size = [], 0
                     pieces.append((i, at, part))
                     size += len(part)
             if pieces:
-                yield out(pieces, keys)
+                yield out(pieces, keys, runs)
 
     return run
 
 
-SCHEMA = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("offset", T.ShortType()), T.StructField("windows", T.ShortType())])
+_FIELDS = (("slot", T.LongType()), ("hot", T.LongType()), ("doc", T.LongType()), ("first", T.IntegerType()), ("offset", T.ShortType()), ("windows", T.ShortType()), ("level", T.IntegerType()), ("run", T.IntegerType()))
+SCHEMA = T.StructType([T.StructField(n, k) for n, k in _FIELDS])
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str, span: int = SPAN) -> DataFrame:
@@ -124,45 +153,79 @@ def keyed(docs: DataFrame, doc_id: str, text: str, span: int = SPAN) -> DataFram
 
 
 class FingerprintIndex:
-    """Log-structured index: immutable runs of anchor rows, each file sorted by hash, in the shared folder.
+    """Log-structured index: immutable runs of anchor rows in the shared folder, bucketed and sorted by hash.
 
-    ``add`` fingerprints a batch into a new run without a shuffle; ``matches`` merge-joins the hashes of a run with
-    all runs; ``compact`` merges FAN_IN runs of a level into one run of the next. Run lists live in the driver (one
-    entry a run); the rows never do.
+    All runs are partitions of one table with the same buckets, so what is joined or merged by hash lies in the same
+    task already: a batch shuffles its own rows once, as they are written, and the history never. ``add`` writes the
+    runs of one or more batches; ``matches`` merge-joins the hashes of a run with those of all runs up to it;
+    ``compact`` merges FAN_IN runs of a level into one run of the next. The list of runs lives in the driver (one entry a
+    run); the rows never do. ``buckets`` (the session's shuffle partitions if not given) must suit the history.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, span: int = SPAN, gram: int = GRAM):
+    def __init__(self, spark: SparkSession, folder: str | None = None, span: int = SPAN, gram: int = GRAM, buckets: int | None = None):
         self.spark, self.span, self.gram = spark, span, gram
-        self.folder = folder or f"{shared_folder(spark).rstrip('/')}/fingerprints-{uuid.uuid4().hex}"
-        self.runs: list[tuple[int, str]] = []
-
-    def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> str:
-        rows = keyed(docs, doc_id, text, self.span).select("doc", "text").mapInArrow(_anchor_rows(self.span, self.gram), SCHEMA)
-        return self._write(rows.sortWithinPartitions("h"), 0)
-
-    def _write(self, rows: DataFrame, level: int) -> str:
-        path = f"{self.folder}/level={level}/{uuid.uuid4().hex}"
-        rows.write.option("compression", "zstd").parquet(path)
-        self.runs.append((level, path))
-        return path
-
-    def rows(self, paths: list[str] | None = None) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(*(paths or [p for _, p in self.runs]))
-
-    def matches(self, run: str) -> DataFrame:
-        """Rows of any run whose hash occurs in ``run`` and at least twice in all: the candidates, to be verified."""
-        counted = self.rows().groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("h")
-        if len(self.runs) > 1:
-            counted = counted.join(self.rows([run]).select("h").distinct(), "h", "left_semi")
-        return self.rows().join(counted.hint("merge"), "h")
-
-    def compact(self) -> None:
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        self.folder, self.table = folder or f"{shared_folder(spark).rstrip('/')}/{name}", name
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[tuple[int, int]] = []
+        self.next = 0
+
+    def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 1) -> list[int]:
+        """Fingerprints ``docs`` as so many batches (by a hash of the id), each a run of level 0, in one pass."""
+        run = (F.lit(self.next) + F.pmod(F.xxhash64("doc_id"), F.lit(batches))).cast("int")
+        rows = keyed(docs, doc_id, text, self.span).select("doc", "text", run.alias("run")).mapInArrow(_anchor_rows(self.span, self.gram, 0), SCHEMA)
+        new = list(range(self.next, self.next + batches))
+        self._write(rows.repartition(self.buckets, "slot"))
+        self.runs += [(0, r) for r in new]
+        self.next += batches
+        return new
+
+    def _write(self, rows: DataFrame) -> None:
+        writer = rows.write.mode("append").format("parquet").partitionBy("level", "run").bucketBy(self.buckets, "slot").sortBy("slot")
+        writer.option("compression", "zstd").option("path", self.folder).saveAsTable(self.table)
+
+    def rows(self, runs: list[int] | None = None) -> DataFrame:
+        """Rows of the runs, with their hash as ``h``."""
+        kept = [(v, r) for v, r in self.runs if runs is None or r in runs]
+        chosen = F.lit(False)
+        for v, r in kept:
+            chosen = chosen | ((F.col("level") == v) & (F.col("run") == r))
+        return self.spark.table(self.table).filter(chosen).select("slot", F.coalesce("hot", "slot").alias("h"), "hot", "doc", "first", "offset", "windows", "run")
+
+    def matches(self, run: int) -> DataFrame:
+        """Rows of the runs up to ``run`` whose hash occurs in it and at least twice in all: candidates, to be verified."""
+        rows = self.rows([r for _, r in self.runs if r <= run])
+        plain = rows.filter(F.col("hot").isNull())
+        hashes = plain.groupBy("slot").agg(F.count("*").alias("n"), F.max("run").alias("newest")).filter((F.col("n") > 1) & (F.col("newest") == run)).select("slot")
+        settled = rows.filter(F.col("hot").isNotNull() & (F.col("run") == run))
+        return plain.join(hashes.hint("merge"), "slot").select(CANDIDATE).unionByName(settled.select(CANDIDATE))
+
+    def compact(self, upto: int | None = None) -> None:
+        """Merges full levels of the runs up to ``upto`` (of all). The merged run takes the highest number of its parts."""
         for level in sorted({v for v, _ in self.runs}):
-            own = [p for v, p in self.runs if v == level]
-            if len(own) >= FAN_IN:
-                merged = self.rows(own).repartition(F.col("h")).sortWithinPartitions("h")
-                self.runs = [r for r in self.runs if r[0] != level]
-                self._write(merged, level + 1)
+            own = [r for v, r in self.runs if v == level and (upto is None or r <= upto)]
+            if len(own) < FAN_IN:
+                continue
+            conf, key = self.spark.conf, "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+            before = conf.get(key)
+            conf.set(key, "false")  # one task a bucket, so that each bucket becomes one file
+            try:
+                rows = self.spark.table(self.table).filter((F.col("level") == level) & F.col("run").isin(own))
+                self._write(rows.withColumns({"level": F.lit(level + 1), "run": F.lit(max(own))}))
+            finally:
+                conf.set(key, before)
+            self.runs = [x for x in self.runs if x[0] != level or x[1] not in own] + [(level + 1, max(own))]
+            for r in own:
+                _delete(self.spark, f"{self.folder}/level={level}/run={r}")
+            self.spark.catalog.refreshTable(self.table)
+
+
+CANDIDATE = ["h", "doc", "first", "offset", "windows"]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _written(rows: DataFrame) -> DataFrame:
@@ -186,7 +249,9 @@ def shared_windows(candidates: DataFrame, docs: DataFrame, span: int = SPAN) ->
     pairs are formed.
     """
     spots = candidates.groupBy("doc").agg(F.collect_set(F.struct("h", "first", "offset", "windows")).alias("spots"))  # bounded by one text
-    cuts = docs.join(spots, "doc").select(
+    named = candidates.select("doc").distinct()
+    held = docs.join(F.broadcast(named), "doc", "left_semi") if is_small(named, FILTER_DOCS) else docs
+    cuts = held.join(spots, "doc").select(
         "doc", "doc_id",
         F.explode(F.expr(f"transform(spots, s -> struct(s.h as h, s.first as first, s.windows as windows, substring(text, s.first + 1, s.windows + {span - 1}) as piece))")).alias("s"),
     ).select("doc", "doc_id", "s.*").filter(F.char_length("piece") == F.col("windows") + span - 1)
@@ -231,12 +296,19 @@ def spans(windows: DataFrame, span: int = SPAN) -> DataFrame:
     return per.select("doc_id", F.col("s.first").alias("start"), (F.col("s.end") - F.col("s.first")).alias("length"))
 
 
-def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Shared windows of a whole table, as one batch of a new index.
+def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+    """Shared windows of a whole table, which enters a new index in ``batches`` batches.
 
-    Null, empty and short texts share nothing, nor do rows without an id. The same text under one doc_id twice is no sharing; exact copies
-    under two ids share everything. An empty table gives an empty result.
+    Each batch is merge-joined with all runs before it and with itself, and full levels are compacted on the way; the
+    candidates of all batches are verified together. Null, empty and short texts share nothing, nor do rows without
+    an id. The same text under one doc_id twice is no sharing; exact copies under two ids share everything. An empty table
+    gives an empty result.
     """
     index = FingerprintIndex(docs.sparkSession, span=span, gram=gram)
-    run = index.add(docs, doc_id, text)
-    return shared_windows(index.matches(run), keyed(docs, doc_id, text, span), span)
+    found = f"{index.folder}-found"
+    for run in index.add(docs, doc_id, text, batches):
+        index.matches(run).write.mode("append").option("compression", "zstd").parquet(found)
+        index.compact(run)
+    schema = T.StructType([T.StructField("h", T.LongType()), *[f for f in SCHEMA if f.name in CANDIDATE]])
+    rows = docs.sparkSession.read.schema(schema).parquet(found)
+    return shared_windows(rows, keyed(docs, doc_id, text, span), span)
