@@ -49,6 +49,21 @@ def test_small_groups_are_exact(spark):
     assert empty.count() == 0
 
 
+def test_both_tails_and_a_hot_day(spark):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.random(60_000), rng.lognormal(0, 2, 60_000)])
+    rows = spark.createDataFrame([("hot", 1, float(v)) for v in values] + [("cold", d, float(d)) for d in range(50)], "k string, day int, value double").repartition(24)
+    parts = percentiles.sketches(rows, ["k", "day"], F.col("value"))
+    days = percentiles.merged(parts, ["k", "day"], keep_part=True)
+    assert days.filter("k = 'hot'").count() >= percentiles.MERGE_PARTS / 2  # no task merges all of the hot day
+    got = {r.k: r for r in percentiles.read_out(percentiles.combined(days, ["k"]), {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p999": 0.999}).collect()}
+    ordered = np.sort(values)
+    for name, q in (("p01", 0.01), ("p25", 0.25), ("p50", 0.5), ("p99", 0.99), ("p999", 0.999)):
+        rank = np.searchsorted(ordered, got["hot"][name], "right") / len(values)
+        assert abs(rank - q) <= 0.05 * min(q, 1 - q) + 1e-5, (name, rank)
+    assert got["hot"].n == len(values) and got["cold"].p50 == 24.0
+
+
 # --- 7: neighbours ---
 
 
@@ -102,6 +117,35 @@ def test_recall_with_hashing_and_hot_bucket(spark, monkeypatch):
     assert near.filter("count = 5").count() == len(ids)
 
 
+def test_loose_clusters_meet_few_rows(spark):
+    """Nearest neighbours at distance 0.5 (cosine 0.875): recall without comparing everything."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((800, 64))
+    x = (centres / np.linalg.norm(centres, axis=1, keepdims=True))[rng.integers(0, 800, 8000)]
+    x = (x + rng.standard_normal(x.shape) * 0.5 / np.sqrt(2) / 8).astype(np.float32)
+    ids, stats = [f"i{n:04d}" for n in range(len(x))], []
+    near = neighbours.nearest(frame(spark, ids, x), stats=stats).select("id", "other").collect()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -9)
+    want = {(ids[i], ids[j]) for i, row in enumerate(np.argsort(-sims, axis=1)[:, :5]) for j in row}
+    got = {(r.id, r.other) for r in near}
+    assert 0.4 < np.median(np.sqrt(2 - 2 * np.sort(sims, axis=1)[:, -5])) < 0.6
+    assert len(got & want) / len(want) >= 0.95
+    assert sum(s["pairs"] for s in stats) / len(ids) ** 2 <= 0.05
+    assert all(s["layout"].functions for s in stats)  # no round met all rows
+
+
+def test_probes_differ_in_few_borders():
+    place = np.random.default_rng(1).random((50, 5)) * 9
+    cells, worth = neighbours.probes(place, 1.0, 0.5, 16)
+    home = np.floor(place).astype(int)
+    assert (cells[:, 0] == home).all() and worth[:, 0].all()
+    moved = np.abs(cells - home[:, None])
+    assert moved.max() == 1 and moved.sum(axis=2).max() <= 3
+    assert all(len({tuple(c) for c, w in zip(cs, ws) if w}) == ws.sum() for cs, ws in zip(cells, worth))
+
+
 def test_live_vectors(spark):
     good, nan, zero = [1.0] * 64, [float("nan")] + [1.0] * 63, [0.0] * 64
     rows = [("a", 1, False, good), ("a", 2, True, good), ("b", 1, True, None), ("b", 2, False, good), ("c", 1, False, nan), ("d", 1, False, zero), ("e", 1, False, [1.0] * 32), ("f", 1, False, None), ("g", 1, None, good), ("g", 1, None, good), (None, 1, False, good), ("h", 1, False, [None] + [1.0] * 63)]
@@ -146,6 +190,23 @@ def test_automaton_is_minimal_and_numbers_words(tmp_path):
         assert lex.ids_of(n) == lexicon.merge_word(w.encode(), ranks)
 
 
+def test_a_very_long_word_takes_seconds():
+    import time
+
+    ranks, rng = lexicon.read_ranks(RANKS), random.Random(2)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)).encode()
+    began = time.time()
+    ids = lexicon.merge_word(word, ranks)
+    assert time.time() - began < 30
+    names = {v: k for k, v in ranks.items()}
+    assert b"".join(names[i] for i in ids) == word
+
+
+def test_decoding_gives_the_texts_back(spark):
+    got = {r.doc_id: r.text for r in tokens.decode(tokens.encode(docs(spark, TEXTS), "doc_id"), "doc_id").collect()}
+    assert got == {i: t or "" for i, t in enumerate(TEXTS)}
+
+
 def test_split_joins_to_the_text():
     rng = random.Random(4)
     exact = lexicon._patterns()[1]
@@ -252,7 +313,7 @@ def test_incremental_runs_and_compaction(spark):
     index = passages.FingerprintIndex(spark)
     everything = spark.createDataFrame(texts, "doc_id long, text string")
     for k in range(5):
-        run = index.add(everything.filter(F.col("doc_id") % 5 == k))
+        [run] = index.add(everything.filter(F.col("doc_id") % 5 == k))
     found = passages.shared_windows(index.matches(run), passages.keyed(everything, "doc_id", "text"))
     got = {r.doc_id for r in found.select("doc_id").distinct().collect()}
     last = {i for i, _ in texts if i % 5 == 4}
@@ -260,3 +321,15 @@ def test_incremental_runs_and_compaction(spark):
     before = index.rows().count()
     index.compact()
     assert [level for level, _ in index.runs] == [1] and index.rows().count() == before
+
+
+def test_history_is_merged_without_an_exchange(spark):
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    index = passages.FingerprintIndex(spark)
+    runs = index.add(spark.createDataFrame([(i, base[: 300 + 10 * i]) for i in range(40)], "doc_id long, text string"), batches=3)
+    plan = index.matches(runs[-1])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    settled = index.rows().filter(F.col("hot").isNotNull())
+    assert settled.count() > 0  # a hot passage fills no bucket
+    assert settled.select("slot").distinct().count() > settled.select("h").distinct().count()
