@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from functools import lru_cache
+from itertools import islice
 
 # Level names and their usual spellings.
 LEVELS = {
@@ -220,6 +221,29 @@ def roles(shapes: list[str], kind: str) -> dict[str, int]:
     return out | {"message": i}
 
 
+@lru_cache(1 << 16)
+def roles_of(shapes: tuple[str, ...], kind: str) -> dict[str, int]:
+    return roles(list(shapes), kind)
+
+
+@lru_cache(1 << 16)
+def fits(own: tuple[str, ...], template: tuple[str, ...], kind: str) -> bool:
+    """Whether a line of these shapes belongs to the template: equal keys, or an equal header but for one token that
+    the template takes for the time or the level. The header ends where the grammar looks no further: with the
+    second token of the message."""
+    if kind != "words" or len(own) != len(template):
+        return own == template
+    role = roles_of(template, kind)
+    end = min(max(role.values(), default=0) + 2, len(template))
+    other = [i for i in range(end) if own[i] != template[i]]
+    return not other or (len(other) == 1 and other[0] in (role.get("time"), role.get("level")))
+
+
+def head(line: str, count: int) -> list[tuple[str, str]]:
+    """The first ``count`` tokens of a line of words."""
+    return [("", m[0]) for m in islice(_token.finditer(line.split("\n", 1)[0]), count)]
+
+
 def _ms(year, month, day, hour, minute, second, fraction, zone) -> int | None:
     try:
         when = dt.datetime(int(year), int(month), int(day), int(hour), int(minute), min(int(second), 59))

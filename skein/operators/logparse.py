@@ -14,12 +14,13 @@ from pyspark.sql.window import Window
 
 from skein import labels as lab
 from skein.functions import logtokens as lt
-from skein.runtime import cut
+from skein.runtime import cut, join_checked
 
 #: Ids per window partition: bounds what one task sorts, however many entries a stream has.
 CHUNK_IDS = 1 << 17
-#: Step 2 splits only on a position with at most this many values; beyond it the position is a variable.
-SPLIT_VALUES = 64
+#: A value splits a partition if this share of its lines has it (and two lines); a position whose splitting values cover
+#: less than COVERED of the lines is a variable.
+SUPPORT, COVERED = 0.02, 0.5
 #: Rows of an object that is cut off: an opening or closing sign or a string, or a bare value.
 OBJECT_ROW = re.compile(r'\s*(?:["{}\[\]]|(?:-?\d[\d.eE+-]*|true|false|null)\s*,?\s*$)')
 _decoder = json.JSONDecoder(strict=False)
@@ -95,60 +96,85 @@ def _masks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.drop(columns=["line", "rest", "json"]).assign(text=texts, tail=tails, kind=kinds, masks=masks)
 
 
-def templates(masked: DataFrame) -> DataFrame:
-    """Leaf of every distinct masked line: columns mask_key, leaf (three-part key), from columns mask_key, kind, masks.
+def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(shapes=[[lt.shape(m) for m in masks] for masks in b["masks"]])
+
+
+def _width(base: DataFrame, group: list[str]) -> DataFrame:
+    """group, pos, values, tokens, most: the positions that can split a partition, and the values that do.
 
-    Three partitioning steps, each a hash aggregation over (partition, position, token) of *distinct* masked lines:
-    by layout and token count; by the position with the fewest values above one (none if it has more than
-    SPLIT_VALUES); by a bijection between the two positions whose number of values is the most common one above
-    one: lines split on the side that maps one-to-one or one-to-many, and stay together where many map to many.
+    At most 1 / SUPPORT values of a position have support, so the lists are bounded, whatever the vocabulary.
     """
-    base = masked.withColumn("n", F.size("masks"))
-    tokens = base.select("mask_key", "kind", "n", F.posexplode("masks").alias("pos", "token"))
-    width = tokens.groupBy("kind", "n", "pos", "token").agg(F.lit(1).alias("x")).groupBy("kind", "n", "pos").agg(F.count("*").alias("values"))
-    narrow = (
-        width.filter((F.col("values") > 1) & (F.col("values") <= SPLIT_VALUES))
-        .groupBy("kind", "n").agg(F.min(F.struct("values", "pos"))["pos"].alias("split_pos"))
-    )
-    second = base.join(narrow, ["kind", "n"], "left").withColumn("k2", F.coalesce(F.get("masks", F.col("split_pos")), F.lit("")))
-    group = ["kind", "n", "k2"]
-    tokens2 = second.select(*group, "mask_key", F.posexplode("masks").alias("pos", "token"))
-    width2 = tokens2.groupBy(*group, "pos", "token").agg(F.lit(1).alias("x")).groupBy(*group, "pos").agg(F.count("*").alias("values"))
-    common = (
-        width2.filter((F.col("values") > 1) & (F.col("values") <= SPLIT_VALUES))
-        .groupBy(*group, "values").agg(F.count("*").alias("times"), F.array_sort(F.collect_set("pos")).alias("at"))
+    lines = cut(base.groupBy(*group).agg(F.count("*").alias("lines")))
+    counted = base.select(*group, F.posexplode("masks").alias("pos", "token")).groupBy(*group, "pos", "token").agg(F.count("*").alias("c"))
+    some = join_checked(counted, lines, group).filter((F.col("c") > 1) & (F.col("c") >= F.col("lines") * SUPPORT))
+    width = some.groupBy(*group, "pos").agg(
+        F.count("*").alias("values"), F.sum("c").alias("covered"), F.max("lines").alias("lines"), F.collect_set("token").alias("tokens"), F.max_by("token", F.struct("c", "token")).alias("most")
+    )
+    return width.filter((F.col("values") > 1) & (F.col("covered") >= F.col("lines") * COVERED)).drop("covered", "lines")
+
+
+def templates(distinct: DataFrame) -> DataFrame:
+    """mask_key, kind, masks, shapes, leaf of every distinct masked line (columns mask_key, kind, masks, shapes).
+
+    Three partitioning steps over *distinct* masked lines: by layout and token count; by the position with the fewest
+    values above one; by a bijection between the two positions whose number of values is the most common one:
+    lines split on the side that maps one-to-one or one-to-many, and stay together where many map to many. Only values
+    with support split; a line with another value at the splitting position goes with the most frequent one, where
+    ``slots`` finds out whether it belongs. What is joined back is one row per partition, or per value of a chosen
+    position: broadcast only after it is counted.
+    """
+    base = distinct.withColumn("n", F.size("masks"))
+    first = ["kind", "n"]
+    best = F.min_by(F.struct("pos", "tokens", "most"), F.struct("values", "pos")).alias("s")
+    narrow = cut(_width(base, first).groupBy(*first).agg(best).select(*first, "s.*"))
+    own = F.get("masks", F.col("pos"))
+    second = join_checked(base, narrow, first, "left").withColumn("k2", F.coalesce(F.when(F.array_contains("tokens", own), own).otherwise(F.col("most")), F.lit(""))).drop("pos", "tokens", "most")
+    group = [*first, "k2"]
+    common = cut(
+        _width(second, group).groupBy(*group, "values").agg(F.count("*").alias("times"), F.array_sort(F.collect_set("pos")).alias("at"))  # bounded by a line's tokens
         .filter(F.col("times") > 1)
         .groupBy(*group).agg(F.max(F.struct("times", -F.col("values"), "at"))["at"].alias("at"))
         .select(*group, F.get("at", F.lit(0)).alias("pa"), F.get("at", F.lit(1)).alias("pb"))
     )
-    third = second.join(common, group, "left").withColumns({"a": F.get("masks", F.col("pa")), "b": F.get("masks", F.col("pb"))})
-    pairs = third.filter(F.col("pa").isNotNull()).groupBy(*group, "a", "b").agg(F.lit(1).alias("x"))
-    of_a = pairs.groupBy(*group, "a").agg(F.count("*").alias("bs"))
-    of_b = pairs.groupBy(*group, "b").agg(F.count("*").alias("as_"))
-    split = third.join(of_a, [*group, "a"], "left").join(of_b, [*group, "b"], "left")
-    k3 = F.when(F.col("as_") == 1, F.concat(F.lit("a:"), "a")).when(F.col("bs") == 1, F.concat(F.lit("b:"), "b")).otherwise("")
-    return split.select("mask_key", "kind", "masks", F.struct("kind", "n", "k2", k3.alias("k3")).alias("leaf"))
-
-
-def _roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    third = join_checked(second, common, group, "left").withColumns({"a": F.get("masks", F.col("pa")), "b": F.get("masks", F.col("pb"))}).drop("pa", "pb")
+    both = third.filter(F.col("a").isNotNull())
+    one = lambda c: F.min(F.xxhash64(c)) == F.max(F.xxhash64(c))
+    of_a = cut(both.groupBy(*group, "a").agg(one("b").alias("to_one")).filter("to_one"))
+    of_b = cut(both.groupBy(*group, "b").agg(one("a").alias("from_one")).filter("from_one"))
+    split = join_checked(join_checked(third, of_a, [*group, "a"], "left"), of_b, [*group, "b"], "left")
+    k3 = F.when(F.col("from_one"), F.concat(F.lit("a:"), "a")).when(F.col("to_one"), F.concat(F.lit("b:"), "b")).otherwise("")
+    return split.select("mask_key", "kind", "masks", "shapes", F.xxhash64("kind", "n", "k2", k3).alias("leaf"))
+
+
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Slots of each line: those of its leaf, or its own where its header is built otherwise."""
     for b in batches:
-        out = [lt.roles([lt.shape(m) for m in masks], kind) for kind, masks in zip(b["kind"], b["masks"], strict=True)]
-        yield pd.DataFrame({"mask_key": b["mask_key"], "leaf": b["leaf"], "own": [{k: int(v) for k, v in r.items()} for r in out], "sig": [str(sorted(r.items())) for r in out]})
+        out, own = [], []
+        for kind, shapes, common in zip(b["kind"], b["shapes"], b["common"], strict=True):
+            shapes = tuple(shapes)
+            common = shapes if common is None else tuple(common)
+            fits = lt.fits(shapes, common, kind)
+            out.append({k: int(v) for k, v in lt.roles_of(common if fits else shapes, kind).items()})
+            own.append("" if fits else " ".join(shapes[: 1 + max(out[-1].values(), default=0)]))
+        yield pd.DataFrame({"mask_key": b["mask_key"], "leaf": b["leaf"], "own": own, "role": out})
 
 
 def slots(leaves: DataFrame) -> DataFrame:
-    """(mask_key, leaf, role): the slots of each leaf template, by majority of its distinct masked lines.
+    """(mask_key, leaf, role): which token states time, level and component, and where the message begins.
 
-    A masked line whose own header grammar disagrees with its template is split off as a leaf of its own.
+    The leaf decides: of each position the class that most of its distinct lines have there makes up the leaf's
+    template, and the header grammar reads the template, not the line. A line whose header differs from the template
+    only in the token that stands for its time or its level takes the template's slots nevertheless, whatever that
+    token is; one that is built otherwise becomes a leaf of its own, as does a leaf's single line.
     """
-    flat = leaves.select("mask_key", F.xxhash64("leaf").alias("leaf"), "kind", "masks")
-    voted = cut(flat.mapInPandas(_roles, "mask_key string, leaf long, own map<string,int>, sig string"))
-    tally = voted.groupBy("leaf", "sig").agg(F.count("*").alias("votes"), F.any_value("own").alias("role"))
-    best = tally.groupBy("leaf").agg(F.max_by(F.struct("role", "sig"), F.struct("votes", "sig")).alias("best"))
-    fits = F.col("best.sig") == F.col("sig")
-    return voted.join(best, "leaf").select(
-        "mask_key", F.when(fits, F.col("leaf")).otherwise(F.xxhash64("leaf", "sig")).alias("leaf"), F.when(fits, F.col("best.role")).otherwise(F.col("own")).alias("role")
-    )
+    positions = leaves.select("leaf", F.posexplode("shapes").alias("pos", "shape"))
+    voted = positions.groupBy("leaf", "pos").agg(F.mode("shape", True).alias("shape"))
+    common = cut(voted.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "shape"))).alias("p")).select("leaf", F.transform("p", lambda x: x["shape"]).alias("common")))
+    rows = join_checked(leaves.select("mask_key", "leaf", "kind", "shapes"), common, "leaf", "left").select("mask_key", "leaf", "kind", "shapes", "common")
+    fitted = rows.mapInPandas(_fitted, "mask_key string, leaf long, own string, role map<string,int>")
+    return fitted.select("mask_key", F.when(F.col("own") == "", F.col("leaf")).otherwise(F.xxhash64("leaf", "own")).alias("leaf"), "role")
 
 
 def _message(line: str, kind: str, message: str, tail: str) -> str:
@@ -167,7 +193,9 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         years = pd.to_datetime(b["timestamp_ns"].fillna(0), unit="ns").dt.year.tolist()
         for text, tail, year, kind, role in zip(b["text"], b["tail"], years, b["kind"], b["role"], strict=True):
             line = lt.plain(text)
-            *found, message = lt.extract(line, lt.fields(line, kind), dict(role), year)
+            role = dict(role)
+            tokens = lt.head(line, 1 + max(role.values(), default=0)) if kind == "words" else lt.fields(line, kind)
+            *found, message = lt.extract(line, tokens, role, year)
             out.append((*found, _message(line, kind, message, tail)))
         event, level, name, message = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
         yield pd.DataFrame({
@@ -188,8 +216,9 @@ def parse(logs: DataFrame) -> DataFrame:
     masked = found.mapInPandas(_masks, T.StructType([*kept, *texts, T.StructField("masks", T.ArrayType(T.StringType()))]))
     masked = cut(masked.withColumn("mask_key", F.md5(F.concat_ws("\x01", "kind", F.array_join("masks", "\x02")))))
     distinct = masked.groupBy("mask_key").agg(F.any_value(F.struct("kind", "masks")).alias("m")).select("mask_key", "m.*")
-    leaves = cut(templates(distinct))
-    rows = masked.drop("masks").join(slots(leaves), "mask_key")
+    shaped = cut(distinct.mapInPandas(_shapes, "mask_key string, kind string, masks array<string>, shapes array<string>"))
+    leaves = cut(templates(shaped))
+    rows = join_checked(masked.drop("masks"), cut(slots(leaves)), "mask_key")
     fields = rows.mapInPandas(
         _extract, "entry_id long, last_entry_id long, timestamp_ns long, component_label string, event long, level string, name string, message string, template long"
     )

@@ -55,6 +55,12 @@ def p3_messages(spark: SparkSession, d: str) -> DataFrame:
     return logparse.parse(table(spark, d, "log_entries")).select("entry_id", "message")
 
 
+def p3_templates(spark: SparkSession, d: str) -> DataFrame:
+    """template, entries, and how many of them state a level, a component: the leaves of the partitioning."""
+    rows = logparse.parse(table(spark, d, "log_entries"))
+    return rows.groupBy("template").agg(F.count("*").alias("entries"), F.sum(F.when(F.col("level") != "unknown", 1).otherwise(0)).alias("with_level"), F.count("component").alias("with_component"))
+
+
 PERIOD_MS, CUTOFF_MS = 300_000, 1_800_000
 
 
@@ -100,7 +106,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_grid, p2_series, p3_found, p3_messages, p4_found, p4_statistics, p4_statistics_all, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_grid, p2_series, p3_found, p3_messages, p3_templates, p4_found, p4_statistics, p4_statistics_all, p5_found)}
 
 _P1 = """
 WITH w AS (SELECT *, lower(regexp_replace(request_id, '^\\s+|\\s+$', '', 'g')) AS rid FROM write_batches),

@@ -187,6 +187,20 @@ def test_logs_empty_long_and_unlabelled(spark):
 # --- 4: late records ---
 
 
+def test_only_the_template_resolves_an_ambiguous_header(spark):
+    """A level that nobody knows: the line's own header could as well be a message; its template says what it is."""
+    line = "[2025-01-06 10:00:{:02d}.000] [{}] [{}] flushed {} segments"
+    lines = [line.format(i, ("info", "warn")[i % 2], ("ruler", "compactor")[i // 2 % 2], i) for i in range(40)]
+    odd = line.format(50, "loud", "ruler", 7)
+    got = {r.entry_id: r for r in logparse.parse(entries(spark, [*lines, odd])).collect()}
+    assert (got[41].level, got[41].component, got[41].message) == ("unknown", "ruler", "flushed 7 segments")
+    assert got[41].template in {r.template for i, r in got.items() if i < 41}
+    alone = logparse.parse(entries(spark, [odd])).first()
+    assert alone.component != "ruler" and alone.message.startswith("[loud]")
+    other = logparse.parse(entries(spark, [*lines, "2025-01-06 10:00:59,123 INFO [exporter] rollup skipped"])).filter("entry_id = 41").first()
+    assert (other.level, other.component, other.message) == ("info", "exporter", "rollup skipped")  # built otherwise: a leaf of its own
+
+
 def test_late_state_corrects_and_merges(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["a", None]), rng.randrange(0, 900_000), rng.choice([1.0, 2.0, 3.0, None, float("nan")]), rng.randrange(0, 4_000_000)) for i in range(400)]
