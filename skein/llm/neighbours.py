@@ -22,7 +22,7 @@ FIT_QUERIES, FIT_ROWS = 256, 4096
 #: neighbour, tables, and most buckets that a query visits in a table.
 FUNCTIONS, WIDTHS, TABLES, PROBES = (1, 2, 3, 4, 5, 6, 8, 10, 12, 14, 16), (2.0, 3.0, 4.0, 6.0, 8.0, 12.0), 4, (1, 2, 4, 8, 16)
 #: A query meets at most this share of all rows, or LEAST_MET rows where that is more.
-MET_SHARE, LEAST_MET = 0.03, 320
+MET_SHARE, LEAST_MET = 0.03, 256
 #: Costs in comparisons: of carrying a vector to a bucket, and of losing all neighbours of a query.
 VISIT, LOSS = 150.0, 400_000.0
 #: The fit takes neighbours to be farther away by this factor, which makes the sample's recall a careful estimate.
