@@ -19,9 +19,9 @@ SPAN, GRAM = 160, 64
 #: Code points that are fingerprinted at a time; a longer text goes in pieces that overlap by SPAN - 1.
 PIECE = 1 << 20
 #: Runs of one level that are compacted into one run of the next.
-FAN_IN = 4
+FAN_IN = 2
 #: Batches in which a whole table enters a new index.
-BATCHES = 5
+BATCHES = 3
 #: Keys of documents with candidates are broadcast, to keep other texts out of the shuffle, if there are at most so many.
 FILTER_DOCS = 1 << 20
 
@@ -102,7 +102,7 @@ def _settled(run: np.ndarray, hashed: np.ndarray, doc: np.ndarray) -> np.ndarray
     return out
 
 
-def _anchor_rows(span: int, gram: int, level: int):
+def _anchor_rows(span: int, gram: int):
     """Anchor rows of texts: input doc, text, run.
 
     ``slot`` is the hash, by which runs are bucketed and sorted. Of the rows of a block of texts that share a hash those of
@@ -120,7 +120,7 @@ def _anchor_rows(span: int, gram: int, level: int):
                 settled = _settled(batch, hashed, doc)
             slot = np.where(settled, _mix(hashed ^ _mix(doc.astype(np.uint64))), hashed).view(np.int64)
             columns = [pa.array(slot), pa.array(hashed.view(np.int64), mask=~settled), *(pa.array(c) for c in (doc, (first + shift[text]).astype(np.int32), offset.astype(np.int16), count.astype(np.int16)))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(text), level, np.int32)), pa.array(batch.astype(np.int32))], SCHEMA.names)
+            return pa.RecordBatch.from_arrays([*columns, pa.array(batch.astype(np.int32))], SCHEMA.names)
 
         for batch in batches:
             keys, runs = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -139,7 +139,7 @@ def _anchor_rows(span: int, gram: int, level: int):
     return run
 
 
-_FIELDS = (("slot", T.LongType()), ("hot", T.LongType()), ("doc", T.LongType()), ("first", T.IntegerType()), ("offset", T.ShortType()), ("windows", T.ShortType()), ("level", T.IntegerType()), ("run", T.IntegerType()))
+_FIELDS = (("slot", T.LongType()), ("hot", T.LongType()), ("doc", T.LongType()), ("first", T.IntegerType()), ("offset", T.ShortType()), ("windows", T.ShortType()), ("run", T.IntegerType()))
 SCHEMA = T.StructType([T.StructField(n, k) for n, k in _FIELDS])
 
 
@@ -173,15 +173,15 @@ class FingerprintIndex:
     def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 1) -> list[int]:
         """Fingerprints ``docs`` as so many batches (by a hash of the id), each a run of level 0, in one pass."""
         run = (F.lit(self.next) + F.pmod(F.xxhash64("doc_id"), F.lit(batches))).cast("int")
-        rows = keyed(docs, doc_id, text, self.span).select("doc", "text", run.alias("run")).mapInArrow(_anchor_rows(self.span, self.gram, 0), SCHEMA)
+        rows = keyed(docs, doc_id, text, self.span).select("doc", "text", run.alias("run")).mapInArrow(_anchor_rows(self.span, self.gram), SCHEMA)
         new = list(range(self.next, self.next + batches))
-        self._write(rows.repartition(self.buckets, "slot"))
+        self._write(rows.repartition(self.buckets, "slot"), 0)
         self.runs += [(0, r) for r in new]
         self.next += batches
         return new
 
-    def _write(self, rows: DataFrame) -> None:
-        writer = rows.write.mode("append").format("parquet").partitionBy("level", "run").bucketBy(self.buckets, "slot").sortBy("slot")
+    def _write(self, rows: DataFrame, level: int) -> None:
+        writer = rows.select(*[f.name for f in SCHEMA if f.name != "run"], F.lit(level).alias("level"), "run").write.mode("append").format("parquet").partitionBy("level", "run").bucketBy(self.buckets, "slot").sortBy("slot")
         writer.option("compression", "zstd").option("path", self.folder).saveAsTable(self.table)
 
     def rows(self, runs: list[int] | None = None) -> DataFrame:
@@ -211,7 +211,7 @@ class FingerprintIndex:
             conf.set(key, "false")  # one task a bucket, so that each bucket becomes one file
             try:
                 rows = self.spark.table(self.table).filter((F.col("level") == level) & F.col("run").isin(own))
-                self._write(rows.withColumns({"level": F.lit(level + 1), "run": F.lit(max(own))}))
+                self._write(rows.withColumn("run", F.lit(max(own))), level + 1)
             finally:
                 conf.set(key, before)
             self.runs = [x for x in self.runs if x[0] != level or x[1] not in own] + [(level + 1, max(own))]
