@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ CHUNK_IDS = 1 << 17
 SUPPORT, COVERED = 0.02, 0.5
 #: Rows of an object that is cut off: an opening or closing sign or a string, or a bare value.
 OBJECT_ROW = re.compile(r'\s*(?:["{}\[\]]|(?:-?\d[\d.eE+-]*|true|false|null)\s*,?\s*$)')
+#: Between the masked tokens of a line; part of no token.
+SEPARATOR = "\x02"
 _decoder = json.JSONDecoder(strict=False)
 
 
@@ -51,7 +54,7 @@ def entries(logs: DataFrame) -> DataFrame:
     )
     stream = ["_s1", "_s2"]
     within = Window.partitionBy(*stream, "_block").orderBy("entry_id")
-    rows = rows.withColumn("_own", F.last("_open", ignorenulls=True).over(within))
+    rows = cut(rows.withColumn("_own", F.last("_open", ignorenulls=True).over(within)))  # read twice; lines are matched once
     blocks = rows.groupBy(*stream, "_block").agg(F.max("_open").alias("_end"))
     earlier = Window.partitionBy(*stream).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select(*stream, "_block", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
@@ -92,13 +95,14 @@ def _masks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tails.append(tail)
             line = lt.plain(text)
             kinds.append(kind := lt.layout(line))
-            masks.append([lt.mask(k, w) for k, w in lt.fields(line, kind)])
+            masks.append(SEPARATOR.join([lt.mask(k, w).replace(SEPARATOR, " ") for k, w in lt.fields(line, kind)]))
         yield b.drop(columns=["line", "rest", "json"]).assign(text=texts, tail=tails, kind=kinds, masks=masks)
 
 
 def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield b.assign(shapes=[[lt.shape(m) for m in masks] for masks in b["masks"]])
+        masks = [m.split(SEPARATOR) if m else [] for m in b["masks"]]
+        yield b.assign(masks=masks, shapes=[[lt.shape(m) for m in ms] for ms in masks])
 
 
 def _width(base: DataFrame, group: list[str]) -> DataFrame:
@@ -156,8 +160,9 @@ def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             shapes = tuple(shapes)
             common = shapes if common is None else tuple(common)
             fits = lt.fits(shapes, common, kind)
-            out.append({k: int(v) for k, v in lt.roles_of(common if fits else shapes, kind).items()})
-            own.append("" if fits else " ".join(shapes[: 1 + max(out[-1].values(), default=0)]))
+            role = lt.roles_of(common if fits else shapes, kind)
+            out.append(" ".join(f"{k}={v}" for k, v in role.items()))
+            own.append("" if fits else " ".join(shapes[: 1 + max(role.values(), default=0)]))
         yield pd.DataFrame({"mask_key": b["mask_key"], "leaf": b["leaf"], "own": own, "role": out})
 
 
@@ -173,10 +178,15 @@ def slots(leaves: DataFrame) -> DataFrame:
     voted = positions.groupBy("leaf", "pos").agg(F.mode("shape", True).alias("shape"))
     common = cut(voted.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "shape"))).alias("p")).select("leaf", F.transform("p", lambda x: x["shape"]).alias("common")))
     rows = join_checked(leaves.select("mask_key", "leaf", "kind", "shapes"), common, "leaf", "left").select("mask_key", "leaf", "kind", "shapes", "common")
-    fitted = rows.mapInPandas(_fitted, "mask_key string, leaf long, own string, role map<string,int>")
+    fitted = rows.mapInPandas(_fitted, "mask_key string, leaf long, own string, role string")
     return fitted.select("mask_key", F.when(F.col("own") == "", F.col("leaf")).otherwise(F.xxhash64("leaf", "own")).alias("leaf"), "role")
 
 
+@lru_cache(1 << 16)
+def _role(text: str) -> dict[str, int]:
+    return {k: int(v) for k, v in (x.split("=") for x in text.split())}
+
+
 def _message(line: str, kind: str, message: str, tail: str) -> str:
     """The header's message, then the entry's further lines: of the same row behind keyed fields, and its further rows."""
     parts = [message]
@@ -193,7 +203,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         years = pd.to_datetime(b["timestamp_ns"].fillna(0), unit="ns").dt.year.tolist()
         for text, tail, year, kind, role in zip(b["text"], b["tail"], years, b["kind"], b["role"], strict=True):
             line = lt.plain(text)
-            role = dict(role)
+            role = _role(role)
             tokens = lt.head(line, 1 + max(role.values(), default=0)) if kind == "words" else lt.fields(line, kind)
             *found, message = lt.extract(line, tokens, role, year)
             out.append((*found, _message(line, kind, message, tail)))
@@ -213,8 +223,8 @@ def parse(logs: DataFrame) -> DataFrame:
     found = entries(logs)
     kept = [f for f in found.schema if f.name not in ("line", "rest", "json")]
     texts = [T.StructField(n, T.StringType()) for n in ("text", "tail", "kind")]
-    masked = found.mapInPandas(_masks, T.StructType([*kept, *texts, T.StructField("masks", T.ArrayType(T.StringType()))]))
-    masked = cut(masked.withColumn("mask_key", F.md5(F.concat_ws("\x01", "kind", F.array_join("masks", "\x02")))))
+    masked = found.mapInPandas(_masks, T.StructType([*kept, *texts, T.StructField("masks", T.StringType())]))
+    masked = cut(masked.withColumn("mask_key", F.md5(F.concat_ws("\x01", "kind", "masks"))))
     distinct = masked.groupBy("mask_key").agg(F.any_value(F.struct("kind", "masks")).alias("m")).select("mask_key", "m.*")
     shaped = cut(distinct.mapInPandas(_shapes, "mask_key string, kind string, masks array<string>, shapes array<string>"))
     leaves = cut(templates(shaped))
