@@ -39,6 +39,10 @@ def truth(v) -> bool:
     return bool(v) if not isinstance(v, float) else v != 0
 
 
+#: Bounds of one rendering: nodes run, characters put out, templates within templates.
+MOST_STEPS, MOST_OUTPUT, MOST_DEPTH = 100_000, 1 << 20, 100
+
+
 def _int(v) -> int:
     if isinstance(v, (int, float)):
         return int(v)
@@ -56,16 +60,46 @@ def _float(v) -> float:
         return 0.0
 
 
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+
+
+class Instant(dt.datetime):
+    """A time in UTC that keeps its nanoseconds."""
+
+    nanos = 0
+
+    @classmethod
+    def of(cls, nanos: int) -> Instant:
+        t = _EPOCH + dt.timedelta(seconds=nanos // 10**9, microseconds=nanos % 10**9 // 1000)
+        out = cls(t.year, t.month, t.day, t.hour, t.minute, t.second, t.microsecond, tzinfo=dt.UTC)
+        out.nanos = nanos
+        return out
+
+
+def nanos_of(t: dt.datetime) -> int:
+    if isinstance(t, Instant):
+        return t.nanos
+    d = t - _EPOCH
+    return ((d.days * 86_400 + d.seconds) * 10**6 + d.microseconds) * 1000
+
+
+def _repeat(n, s: str) -> str:
+    n = max(0, _int(n))
+    if n * len(s) > MOST_OUTPUT:
+        raise TemplateError("output limit exceeded")
+    return s * n
+
+
 def _div(a: int, b: int) -> int:
     if b == 0:
         raise TemplateError("division by zero")
-    return int(a / b)
+    return abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
 
 
 def _mod(a: int, b: int) -> int:
     if b == 0:
         raise TemplateError("division by zero")
-    return int(math.fmod(a, b))
+    return abs(a) % abs(b) * (-1 if a < 0 else 1)
 
 
 def _re(pattern: str) -> re.Pattern:
@@ -115,7 +149,9 @@ def go_date(layout: str, t: dt.datetime) -> str:
     out, i = [], 0
     while i < len(layout):
         if m := re.match(r"\.(0+|9+)", layout[i:]):
-            out.append("." + f"{t.microsecond:06d}000"[: len(m[1])])
+            digits = f"{nanos_of(t) % 10**9:09d}"[: len(m[1])]
+            digits = digits.rstrip("0") if m[1][0] == "9" else digits
+            out.append("." + digits if digits else "")
             i += len(m[0])
             continue
         for name, code in LAYOUT:
@@ -166,7 +202,8 @@ def _cut(n, v: str) -> str:
 
 def _substr(a, b, v: str) -> str:
     a, b = _int(a), _int(b)
-    return v[:b] if a < 0 else v[a:] if b < 0 or b > len(v) else v[a:b] if a <= b else ""
+    a, b = max(a, 0), len(v) if b < 0 or b > len(v) else b
+    return v[a:b] if a <= b else ""
 
 
 def _from_json(v: str):
@@ -188,7 +225,7 @@ FUNCTIONS = {
     "ToUpper": lambda s: s.upper(), "upper": lambda s: s.upper(), "Trim": lambda s, c: s.strip(c), "TrimLeft": lambda s, c: s.lstrip(c), "TrimRight": lambda s, c: s.rstrip(c),
     "TrimPrefix": lambda s, p: s.removeprefix(p), "TrimSuffix": lambda s, p: s.removesuffix(p), "TrimSpace": lambda s: s.strip(), "trim": lambda s: s.strip(),
     "trimPrefix": lambda p, s: s.removeprefix(p), "trimSuffix": lambda p, s: s.removesuffix(p), "trimAll": lambda c, s: s.strip(c), "title": lambda s: re.sub(r"\b\w", lambda m: m[0].upper(), s),
-    "contains": lambda p, s: p in s, "hasPrefix": lambda p, s: s.startswith(p), "hasSuffix": lambda p, s: s.endswith(p), "repeat": lambda n, s: s * max(0, _int(n)), "trunc": _cut, "substr": _substr,
+    "contains": lambda p, s: p in s, "hasPrefix": lambda p, s: s.startswith(p), "hasSuffix": lambda p, s: s.endswith(p), "repeat": _repeat, "trunc": _cut, "substr": _substr,
     "indent": lambda n, s: " " * _int(n) + s.replace("\n", "\n" + " " * _int(n)), "nindent": lambda n, s: "\n" + " " * _int(n) + s.replace("\n", "\n" + " " * _int(n)),
     "alignLeft": lambda n, s: _align(s, n, False), "alignRight": lambda n, s: _align(s, n, True), "default": lambda d, v="": v if truth(v) else d, "count": lambda p, s: len(_re(p).findall(s)),
     "regexReplaceAll": lambda p, s, r: _re(p).sub(_expand(r), s), "regexReplaceAllLiteral": lambda p, s, r: _re(p).sub(lambda _: r, s), "fromJson": _from_json,
@@ -198,8 +235,8 @@ FUNCTIONS = {
     "maxf": lambda *a: max(map(_float, a)), "minf": lambda *a: min(map(_float, a)), "ceil": lambda a: float(math.ceil(_float(a))), "floor": lambda a: float(math.floor(_float(a))),
     "round": lambda a, n, *_: math.floor(_float(a) * 10 ** _int(n) + 0.5) / 10 ** _int(n), "bytes": lambda s: _need(parse_bytes(s), "bytes"), "duration": lambda s: _need(parse_duration(s), "duration"),
     "duration_seconds": lambda s: _need(parse_duration(s), "duration"), "b64enc": lambda s: base64.b64encode(s.encode()).decode(), "b64dec": lambda s: base64.b64decode(s).decode(errors="replace"),
-    "urlencode": lambda s: urllib.parse.quote_plus(s), "urldecode": lambda s: urllib.parse.unquote_plus(s), "now": lambda: dt.datetime.now(dt.UTC), "unixEpoch": lambda t: str(int(t.timestamp())),
-    "unixEpochMillis": lambda t: str(int(t.timestamp() * 1000)), "unixEpochNanos": lambda t: str(int(t.timestamp() * 10**6) * 1000), "unixToTime": _epoch, "date": lambda f, t: go_date(f, t),
+    "urlencode": lambda s: urllib.parse.quote_plus(s), "urldecode": lambda s: urllib.parse.unquote_plus(s), "now": lambda: dt.datetime.now(dt.UTC), "unixEpoch": lambda t: str(nanos_of(t) // 10**9),
+    "unixEpochMillis": lambda t: str(nanos_of(t) // 10**6), "unixEpochNanos": lambda t: str(nanos_of(t)), "unixToTime": _epoch, "date": lambda f, t: go_date(f, t),
     "toDate": lambda f, s: to_date(f, s), "toDateInZone": lambda f, z, s: to_date(f, s, z),
     "not": lambda a: not truth(a), "eq": lambda a, *b: any(a == x for x in b), "ne": lambda a, b: a != b, "lt": lambda a, b: _compare(a, b) < 0, "le": lambda a, b: _compare(a, b) <= 0,
     "gt": lambda a, b: _compare(a, b) > 0, "ge": lambda a, b: _compare(a, b) >= 0, "len": lambda a: len(a.encode()) if isinstance(a, str) else len(a), "print": lambda *a: "".join(map(S, a)),
@@ -396,6 +433,16 @@ def render_go(program, labels: dict[str, str], line: str, ts_ns: int) -> str:
     _, nodes, defined = program
     out: list[str] = []
     variables: dict[str, object] = {"$": labels}
+    spent = {"steps": 0, "output": 0, "depth": 0}
+
+    def charge(what: str, amount: int, most: int) -> None:
+        spent[what] += amount
+        if spent[what] > most:
+            raise TemplateError(f"{what} limit exceeded")
+
+    def put(text: str) -> None:
+        charge("output", len(text), MOST_OUTPUT)
+        out.append(text)
 
     def value(node, dot):
         kind = node[0]
@@ -413,7 +460,7 @@ def render_go(program, labels: dict[str, str], line: str, ts_ns: int) -> str:
         if name == "__line__":
             return line
         if name == "__timestamp__":
-            return dt.datetime.fromtimestamp(ts_ns / 1e9, dt.UTC)
+            return Instant.of(ts_ns)
         if name in ("and", "or"):
             v = None
             for a in args:
@@ -428,13 +475,14 @@ def render_go(program, labels: dict[str, str], line: str, ts_ns: int) -> str:
 
     def run(body, dot) -> None:
         for node in body:
+            charge("steps", 1, MOST_STEPS)
             kind = node[0]
             if kind == "text":
-                out.append(node[1])
+                put(node[1])
             elif kind == "out":
                 v = value(node[1], dot)
                 if node[1][0] != "set":
-                    out.append(text_of(v))
+                    put(text_of(v))
             elif kind == "if":
                 run(node[2] if truth(value(node[1], dot)) else node[3], dot)
             elif kind == "with":
@@ -457,7 +505,9 @@ def render_go(program, labels: dict[str, str], line: str, ts_ns: int) -> str:
             elif kind == "template":
                 if node[1] not in defined:
                     raise TemplateError(f"template {node[1]!r} not defined")
+                charge("depth", 1, MOST_DEPTH)
                 run(defined[node[1]], value(node[2], dot))
+                spent["depth"] -= 1
             else:
                 raise _Break if kind == "break" else _Continue
 

@@ -40,7 +40,7 @@ class Compiler(pc.Compiler):
         at = F.col("ts_ns")
         keep = ((at > low) & (at <= high)) if left_open else ((at >= low) & (at < high))
         for name, op, value in node.matchers:
-            keep = keep & pc.matcher(lab.get(F.col("labels"), name), op, value)
+            keep = keep & pc.matcher(pc.column_of(self.entries, name), op, value)
         rows = self.entries.filter(keep).select("labels", "ts_ns", "line", "metadata", "entry_id")
         stages = list(node.stages)
         while stages and (c := st.column_filter(stages[0])) is not None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ipaddress
 import json
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,39 +20,47 @@ from skein.functions.words import analyse
 ERRORS = ("__error__", "__error_details__", "__preserve_error__")
 
 
-def pattern_matches(pattern: str, line: str) -> bool:
-    """Literals, in order, each at its first occurrence; a capture between two of them isn't empty; both ends decide."""
-    pieces = [p for p in re.split(r"(<[^<>]*>)", pattern) if p]
-    if not pieces:
-        return line == ""
-    at, after_capture = 0, False
-    for k, piece in enumerate(pieces):
-        if piece[0] == "<" and piece[-1] == ">":
-            after_capture = True
-            continue
-        found = line.find(piece, at)
-        if found < 0 or (k and found == at):
-            return False
-        at, after_capture = found + len(piece), False
-    return bool(line) and after_capture == (at != len(line))
+_capture = re.compile(r"<([^<>]*)>")
+
+
+def pattern_regex(pattern: str, end: str = r"\z") -> str:
+    """The pattern filter as a regular expression that Java and Python read alike.
+
+    A literal binds at its first occurrence, hence the atomic groups; a capture before a literal, or at the end, holds
+    at least one character; without a capture at the end the line ends with the last literal.
+    """
+    literals = _capture.split(pattern)[::2]
+    if len(literals) == 1 and not pattern:
+        return r"\A" + end
+    out = [r"\A(?s:", f"(?>.*?{re.escape(literals[0])})" if literals[0] else ""]
+    out += [f"(?>(?!{re.escape(x)}).+?{re.escape(x)})" for x in literals[1:] if x]
+    return "".join(out) + (".+" if not literals[-1] else "") + ")" + end
+
+
+@lru_cache(256)
+def pattern_captures(pattern: str) -> tuple[re.Pattern, list[str]]:
+    """The pattern stage as a regular expression, with the name of each of its groups.
+
+    A capture runs to the first occurrence of the literal behind it. Where that is missing, the capture's second group
+    takes the rest of the line and nothing follows.
+    """
+    lead, *rest = _capture.split(pattern)
+    names: list[str] = []
+    out = ""
+    for name, literal in reversed(list(zip(rest[::2], rest[1::2], strict=True))):
+        names[:0] = [name, name] if literal else [name]
+        out = f"(?:(?>(.*?){re.escape(literal)}){out}|(.*))" if literal else "(.*)"
+        if literal:  # group order: the capture, those behind it, its second form
+            names.append(names.pop(1))
+        else:
+            del names[1:]
+    return re.compile(r"\A(?s:" + re.escape(lead) + out + ")"), names
 
 
 def pattern_fields(pattern: str, line: str) -> dict[str, str]:
-    """Captures run to the next literal; if that is missing, the capture takes the rest and the match ends."""
-    pieces = [p for p in re.split(r"(<[^<>]*>)", pattern) if p]
-    out: dict[str, str] = {}
-    if pieces and not (pieces[0][0] == "<" and pieces[0][-1] == ">"):
-        if not line.startswith(pieces[0]):
-            return out
-        line, pieces = line[len(pieces[0]) :], pieces[1:]
-    while pieces and line is not None:
-        name, pieces = pieces[0][1:-1], pieces[1:]
-        literal = pieces.pop(0) if pieces and pieces[0][0] != "<" else None
-        value, found, rest = line.partition(literal) if literal else (line, "", "")
-        if name not in ("_", ""):
-            out[name] = value
-        line = rest if found else None
-    return out
+    expr, names = pattern_captures(pattern)
+    found = expr.match(line)
+    return {n: v for n, v in zip(names, found.groups(), strict=True) if v is not None and n not in ("", "_")} if found else {}
 
 
 _address = re.compile(r"[0-9A-Fa-f:.]{2,}")
@@ -113,6 +122,11 @@ def json_path(value, path: str) -> str:
 _pair = re.compile(r'\s*([^\s="]+)(?:=(?:"((?:[^"\\]|\\.)*)"|([^\s"]*)))?(?=\s|\Z)|\s*(\S+)')
 
 
+def logfmt_pairs(text: str) -> dict[str, str]:
+    """Keys as they are written, with their values."""
+    return {m[1]: m[3] or "" if m[2] is None else _unescaped(m[2]) for m in _pair.finditer(text) if m[4] is None}
+
+
 def logfmt(line: str, strict: bool, keep_empty: bool) -> tuple[dict[str, str], str | None]:
     out: dict[str, str] = {}
     for m in _pair.finditer(line):
@@ -258,7 +272,7 @@ def compiled(stage: tuple):
             elif op in ("|~", "!~"):
                 tests.append(lambda s, c=re.compile(to_python(text)): c.search(s) is not None)
             else:
-                tests.append(lambda s, t=text: pattern_matches(t, s))
+                tests.append(lambda s, c=re.compile(pattern_regex(text, r"\Z")): c.search(s) is not None)
         positive = op[0] == "|"
         return lambda r: any(t(r.line) for t in tests) == positive
     if kind == "json":
@@ -415,9 +429,9 @@ def column_filter(stage: tuple) -> Column | None:
     if stage[0] != "line":
         return None
     _, op, terms = stage
-    if any(k == "ip" for k, _ in terms) or op in ("|>", "!>"):
+    if any(k == "ip" for k, _ in terms):
         return None
     hit = F.lit(False)
     for _, text in terms:
-        hit = hit | (F.contains("line", F.lit(text)) if op in ("|=", "!=") else F.col("line").rlike(to_java(text)))
+        hit = hit | (F.contains("line", F.lit(text)) if op in ("|=", "!=") else F.col("line").rlike(pattern_regex(text) if op in ("|>", "!>") else to_java(text)))
     return hit if op[0] == "|" else ~hit

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from skein.functions.templates import TemplateError, parse as parse_template, render
@@ -132,8 +134,22 @@ def test_templates():
         f("{{ div 1 0 }}")
 
 
+def test_template_numbers_times_and_limits():
+    ts = 1_736_121_600_123_456_789
+    show = lambda text: render(parse_template(text), {"n": str(ts)}, "line", ts)
+    assert show("{{ mod .n 1000 }} {{ div .n 1000 }} {{ div -7 2 }} {{ mod -7 2 }}") == "789 1736121600123456 -3 -1"
+    assert show("{{ unixEpochNanos __timestamp__ }} {{ unixEpochMillis __timestamp__ }} {{ unixEpoch __timestamp__ }}") == "1736121600123456789 1736121600123 1736121600"
+    assert show('{{ date "15:04:05.000000000" __timestamp__ }}') == "00:00:00.123456789"
+    assert show('{{ substr -1 -1 "abcdef" }} {{ substr 1 3 "abcdef" }}') == "abcdef bc"
+    for endless in ('{{ define "t" }}x{{ template "t" . }}{{ end }}{{ template "t" . }}', '{{ repeat 100000000 "abc" }}', "{{ range 1000000 }}x{{ end }}"):
+        with pytest.raises(TemplateError):
+            show(endless)
+
+
 def test_pattern_and_logfmt():
-    assert st.pattern_matches("<_>b<_>", "abc") and not st.pattern_matches("<_>b<_>", "bc") and not st.pattern_matches("<_>b", "abc")
+    matches = lambda pattern, line: re.search(st.pattern_regex(pattern, r"\Z"), line) is not None
+    assert matches("<_>b<_>", "abc") and not matches("<_>b<_>", "bc") and not matches("<_>b", "abc") and matches("<_>\\z", "a\\z") and not matches("", "a")
+    assert st.pattern_fields("<a> - <_> [<b>]", "x - y [z] t") == {"a": "x", "b": "z"} and st.pattern_fields("<a>, <b>", "only") == {"a": "only"}
     assert st.pattern_fields("a <x>, <y>", "a 1") == {"x": "1"}
     assert st.logfmt('a=1 b="x \\"y\\"" c d=', False, True)[0] == {"a": "1", "b": 'x "y"', "c": "", "d": ""}
     assert st.logfmt("a=1 c", True, False)[1]
