@@ -291,7 +291,8 @@ def classic(what: str, a: float, b: float):
 ROLLUPS = {"rate", "increase", "delta", "irate", "idelta", "sum_over_time", "avg_over_time", "last_over_time", "count_over_time", "present_over_time", "resets", "changes"}
 
 
-def _window(name: str, hs: list[Hist], ts: list[int], eff: int, range_ms: int) -> tuple[Hist | None, float | None]:
+def _window(name: str, hs: list[Hist], ts: list[int], after: list[bool], eff: int, range_ms: int) -> tuple[Hist | None, float | None]:
+    """``after``: which histograms follow a float within the window; going from one kind to the other is a change."""
     if name == "count_over_time":
         return None, float(len(hs))
     if name == "present_over_time":
@@ -299,9 +300,9 @@ def _window(name: str, hs: list[Hist], ts: list[int], eff: int, range_ms: int) -
     if name == "last_over_time":
         return hs[-1], None
     if name == "resets":
-        return None, float(sum(b.reset_from(a) for a, b in zip(hs, hs[1:], strict=False)))
+        return None, float(sum(x or (i > 0 and hs[i].reset_from(hs[i - 1])) for i, x in enumerate(after)))
     if name == "changes":
-        return None, float(sum(not b.same(a) for a, b in zip(hs, hs[1:], strict=False)))
+        return None, float(sum(x or (i > 0 and not hs[i].same(hs[i - 1])) for i, x in enumerate(after)))
     if name in ("sum_over_time", "avg_over_time"):
         total = hs[0]
         for h in hs[1:]:
@@ -310,6 +311,8 @@ def _window(name: str, hs: list[Hist], ts: list[int], eff: int, range_ms: int) -
     if len(hs) < 2:
         return None, None
     if name in ("irate", "idelta"):
+        if after[-1]:
+            return None, None
         a, b = hs[-2], hs[-1]
         out = b if name == "irate" and b.reset_from(a) else b.add(a, -1.0)
         return (out.times(1000 / (ts[-1] - ts[-2])) if out and name == "irate" else out), None
@@ -336,7 +339,7 @@ def rollup(w, name: str) -> DataFrame | None:
     if name not in ROLLUPS:
         return None
     rows = w.df.filter(F.col("hist").isNotNull())
-    g = rows.groupBy("labels", "step", "eff").agg(F.array_sort(F.collect_list(F.struct("ts", "hist"))).alias("w"), F.max("ts").alias("t1"))
+    g = rows.groupBy("labels", "step", "eff").agg(F.array_sort(F.collect_list(F.struct("ts", "hist", F.col("pv").isNotNull().alias("after")))).alias("w"), F.max("ts").alias("t1"))
     kind = T.StructType([T.StructField("hist", STRUCT), T.StructField("value", T.DoubleType())])
     range_ms = w.range_ms
 
@@ -344,7 +347,7 @@ def rollup(w, name: str) -> DataFrame | None:
     def run(arr: pd.Series, eff: pd.Series) -> pd.DataFrame:
         out = []
         for items, e in zip(arr, eff, strict=True):
-            h, v = _window(name, [Hist(i["hist"]) for i in items], [int(i["ts"]) for i in items], int(e), range_ms)
+            h, v = _window(name, [Hist(i["hist"]) for i in items], [int(i["ts"]) for i in items], [bool(i["after"]) for i in items], int(e), range_ms)
             out.append((h.row() if h else None, v))
         return pd.DataFrame({"hist": pd.Series([o[0] for o in out], dtype=object), "value": pd.Series([o[1] for o in out], dtype=float)})
 
@@ -352,16 +355,18 @@ def rollup(w, name: str) -> DataFrame | None:
 
 
 def join_rollup(floats: DataFrame, hists: DataFrame | None, name: str) -> DataFrame:
-    """Cells of windows with floats and with histograms. Mixed windows: counts add up, the newest wins, others are absent."""
+    """Cells of windows with floats and with histograms. Mixed windows: counts add up, the newest kind wins where one or
+    two samples decide, others are absent."""
     none = F.lit(None).cast(HISTOGRAM)
     if "t1" not in floats.columns:
         floats = floats.withColumn("t1", F.lit(None).cast("bigint"))
     if hists is None:
-        return floats.select("labels", "step", "value", none.alias("hist"))
+        return floats.filter(F.col("value").isNotNull()).select("labels", "step", "value", none.alias("hist"))
     both = floats.join(hists.withColumnsRenamed({"t1": "t2"}), ["labels", "step"], "full_outer")
-    if name == "last_over_time":
+    if name in ("last_over_time", "irate", "idelta"):
         newer = F.col("t2").isNotNull() & (F.coalesce("t1", F.lit(-(2**62))) < F.col("t2"))
-        return both.select("labels", "step", F.when(~newer, F.col("value")).alias("value"), F.when(newer, F.col("hist")).alias("hist"))
+        out = both.select("labels", "step", F.when(~newer, F.col("value")).alias("value"), F.when(newer, F.col("hist")).alias("hist"))
+        return out.filter(F.col("value").isNotNull() | F.col("hist").isNotNull())
     if name in ("count_over_time", "resets", "changes"):
         return both.select("labels", "step", (F.coalesce("value", F.lit(0.0)) + F.coalesce("hvalue", F.lit(0.0))).alias("value"), none.alias("hist"))
     if name == "present_over_time":

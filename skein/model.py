@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ def metric_samples(spark: SparkSession, d: str, namespace: str | None = None, as
     """labels, ts_ms, value, stale, hist from samples. Of rows of one series and time the last written one counts
     (highest sample_id; a redelivered row is the same row). Rows without a value that are not stale are left out.
     Without ``namespace`` the namespace becomes a label of that name. ``as_metric`` renames all series to that metric
-    and keeps their name as the label ``metric``."""
+    and keeps their name as the label ``metric``. The column ``namespace`` repeats the label: compilers filter on it, and it
+    is part of the grouping, so filters on it and on the time reach the scan."""
     rows = table(spark, d, "samples").filter((F.col("value").isNotNull() | F.coalesce("stale", F.lit(False))) & F.col("timestamp_ms").isNotNull())
     if namespace is not None:
         rows = rows.filter(F.col("namespace") == namespace)
@@ -22,9 +25,10 @@ def metric_samples(spark: SparkSession, d: str, namespace: str | None = None, as
     if as_metric:
         extra |= {"metric": lab.get(F.col("labels"), "__name__"), "__name__": F.lit(as_metric)}
     labels = lab.canonical(F.col("labels"), extra)
-    rows = rows.select(labels.alias("labels"), F.col("timestamp_ms").alias("ts_ms"), F.coalesce("value", F.lit(float("nan"))).alias("value"), F.coalesce("stale", F.lit(False)).alias("stale"), "sample_id")
-    last = rows.groupBy("labels", "ts_ms").agg(F.max_by("value", "sample_id").alias("value"), F.max_by("stale", "sample_id").alias("stale"))
-    return last.withColumn("hist", F.lit(None).cast(HISTOGRAM))
+    rows = rows.select(labels.alias("labels"), F.col("timestamp_ms").alias("ts_ms"), F.coalesce("value", F.lit(float("nan"))).alias("value"), F.coalesce("stale", F.lit(False)).alias("stale"), "sample_id", "namespace")
+    last = rows.groupBy("labels", "ts_ms", "namespace").agg(F.max_by("value", "sample_id").alias("value"), F.max_by("stale", "sample_id").alias("stale"))
+    out = last.withColumn("hist", F.lit(None).cast(HISTOGRAM))
+    return out if namespace is None else out.drop("namespace")
 
 
 def native_histograms(spark: SparkSession, d: str) -> DataFrame:
@@ -42,21 +46,34 @@ def native_histograms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_entries(spark: SparkSession, d: str) -> DataFrame:
-    """labels, ts_ns, line, metadata from log_entries, each entry_id once; null lines are left out. The namespace is a label."""
+    """labels, ts_ns, line, metadata, entry_id, namespace from log_entries; null lines are left out. The namespace is a
+    label, repeated as a column.
+
+    A redelivered row is a copy of the whole row, so rows are grouped by all they hold: filters on any of it run before
+    the deduplication, and those on time, namespace and line reach the scan. Should copies of an entry_id ever
+    differ, each different one stays."""
     rows = table(spark, d, "log_entries").filter(F.col("line").isNotNull() & F.col("timestamp_ns").isNotNull())
     labels = lab.canonical(F.col("labels"), {"namespace": F.col("namespace")})
     pairs = F.to_json("structured_metadata")
-    one = rows.select("entry_id", F.struct(labels.alias("labels"), F.col("timestamp_ns").alias("ts_ns"), "line", pairs.alias("meta")).alias("e"))
-    once = one.groupBy("entry_id").agg(F.min("e").alias("e")).select("e.*", "entry_id")
-    return once.select("labels", "ts_ns", "line", F.coalesce(F.from_json("meta", "map<string,string>"), F.expr("cast(map() as map<string,string>)")).alias("metadata"), "entry_id")
+    own = rows.select("entry_id", labels.alias("labels"), F.col("timestamp_ns").alias("ts_ns"), "line", pairs.alias("meta"), "namespace")
+    once = own.groupBy(*own.columns).agg(F.lit(1).alias("_x"))
+    return once.select("labels", "ts_ns", "line", F.coalesce(F.from_json("meta", "map<string,string>"), F.expr("cast(map() as map<string,string>)")).alias("metadata"), "entry_id", "namespace")
 
 
 ATTRIBUTE = "struct<s:string,b:boolean,i:bigint,d:double>"
 
 
-def spans(spark: SparkSession, d: str) -> DataFrame:
-    """Span rows of the trace model from spans, each (trace_id, span_id) once (the copy delivered first)."""
+def spans(spark: SparkSession, d: str, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
+    """Span rows of the trace model from spans, each (trace_id, span_id) once (the copy delivered first).
+
+    Spans that start in [start_ns, end_ns): copies of a span start at one time, so these bounds reach the scan. What
+    else a query asks of a span holds for the copy that stays and can't come before.
+    """
     rows = table(spark, d, "spans").filter(F.col("trace_id").isNotNull() & F.col("span_id").isNotNull() & F.col("start_time").isNotNull())
+    for bound, inside in ((start_ns, lambda t: F.col("start_time") >= t), (end_ns, lambda t: F.col("start_time") < t)):
+        if bound is not None:
+            at = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=-(-bound // 1000))  # UTC without a zone, as the column
+            rows = rows.filter(inside(F.lit(at.isoformat(" ", "microseconds")).cast("timestamp_ntz")))
     own = F.filter(F.col("refs"), lambda r: (r["ref_type"] == "CHILD_OF") & (F.lower(r["trace_id"]) == F.lower(F.col("trace_id"))))
     value = lambda v: F.struct(v.alias("s"), F.lit(None).cast("boolean").alias("b"), F.expr("try_cast(null as bigint)").alias("i"), F.lit(None).cast("double").alias("d"))
     start = utc_micros(F.col("start_time")) * 1000

@@ -57,7 +57,14 @@ class Windowed:
     pinned: int | None
 
 
+def column_of(rows: DataFrame, name: str) -> Column:
+    """A label, or the plain column that repeats it where there is one."""
+    return F.col("namespace") if name == "namespace" and "namespace" in rows.columns else lab.get(F.col("labels"), name)
+
+
 def matcher(column: Column, op: str, value: str) -> Column:
+    if op == "=" and value:
+        return column == value  # as it stands, so that it can reach a scan; null is no match
     have = F.coalesce(column, F.lit(""))
     if op in ("=", "!="):
         return (have == value) if op == "=" else (have != value)
@@ -160,7 +167,7 @@ class Compiler:
         """Samples of the selector in (low, high]: label and time filters reach the scan."""
         keep = (F.col("ts_ms") > low) & (F.col("ts_ms") <= high)
         for name, op, value in node.matchers:
-            keep = keep & matcher(lab.get(F.col("labels"), name), op, value)
+            keep = keep & matcher(column_of(self.samples, name), op, value)
         return self.samples.filter(keep).select("labels", "ts_ms", "value", "stale", "hist")
 
     @staticmethod
@@ -250,7 +257,7 @@ class Compiler:
             change = F.col("v1") - F.col("v0")
             if name == "irate":
                 change = F.when(F.col("v1") < F.col("v0"), F.col("v1")).otherwise(change) / ((F.col("t1") - F.col("t0")) / 1000)
-            df = g.filter((F.col("n") > 1) & F.col("v0").isNotNull()).select("labels", "step", change.alias("value"))
+            df = g.select("labels", "step", change.alias("value"), "t1")  # null where the last float follows a histogram, or nothing
         elif name in ("deriv", "predict_linear"):
             x = (ts - F.col("eff")) / 1000
             g = by.agg(n.alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.regr_slope(v, x).alias("slope"), F.avg(v).alias("my"), F.avg(x).alias("mx"))
@@ -261,9 +268,10 @@ class Compiler:
             df = g.filter(F.col("n") > 1).select("labels", "step", value.alias("value"))
         else:
             both_nan = F.isnan(v) & F.isnan(pv)
+            after_histogram = F.col("pts").isNotNull() & pv.isNull()  # the sample before it in the window is of the other kind
             value = {
-                "resets": lambda: F.sum(F.when(ieee.comparison("<", v, pv) & pv.isNotNull(), 1).otherwise(0)).cast("double"),
-                "changes": lambda: F.sum(F.when(pv.isNotNull() & ieee.comparison("!=", v, pv) & ~both_nan, 1).otherwise(0)).cast("double"),
+                "resets": lambda: F.sum(F.when((ieee.comparison("<", v, pv) & pv.isNotNull()) | after_histogram, 1).otherwise(0)).cast("double"),
+                "changes": lambda: F.sum(F.when((pv.isNotNull() & ieee.comparison("!=", v, pv) & ~both_nan) | after_histogram, 1).otherwise(0)).cast("double"),
                 "sum_over_time": lambda: F.sum("v"), "avg_over_time": lambda: F.avg("v"), "min_over_time": lambda: ieee.minimum(v),
                 "max_over_time": lambda: ieee.maximum(v), "count_over_time": lambda: n.cast("double"), "last_over_time": lambda: F.max_by("v", "ts"),
                 "stddev_over_time": lambda: F.stddev_pop("v"), "stdvar_over_time": lambda: F.var_pop("v"), "present_over_time": lambda: F.max(F.lit(1.0)),

@@ -189,6 +189,24 @@ def test_native_histograms(spark, h):
     check(run(spark, h, "f + 1", "1m"), {"i=a": 3.0})
 
 
+def test_windows_that_mix_floats_and_histograms(spark):
+    """Going from one kind to the other counts as a reset and a change; the last two samples decide the instant rates."""
+    m, n, o = ({"__name__": x, "i": "a"} for x in "mno")
+    rows = [(m, 60_000, H), (m, 180_000, H2), (n, 120_000, H), (n, 180_000, H2), (o, 0, H)]
+    mixed = load(spark, "1m", 'm{i="a"} 1 _ 3 _ 2\nn{i="a"} 5 7 _ _\no{i="a"} _ 4 6 5', rows)
+    at = lambda query: run(spark, mixed, query, "4m")
+    check(at("resets(m[5m])"), {"i=a": 4.0})
+    check(at("changes(m[5m])"), {"i=a": 4.0})
+    check(at("changes(n[5m])"), {"i=a": 3.0})  # 5 to 7, to a histogram, to another one
+    check(at("resets(n[5m])"), {"i=a": 1.0})
+    check(at("resets(o[5m])"), {"i=a": 2.0})  # from a histogram to 4, 6 to 5
+    assert at("irate(m[5m])") == {} and at("idelta(m[5m])") == {}  # the last two are of different kinds
+    check(at("histogram_count(irate(n[5m]))"), {"i=a": 7 / 60})
+    check(at("idelta(o[5m])"), {"i=a": -1.0})
+    check(at("count_over_time(m[5m])"), {"i=a": 5.0})
+    assert at("rate(m[5m])") == {}
+
+
 def test_parser_shapes():
     assert parse("a - b - c").right.matchers == [("__name__", "=", "c")]
     assert parse("a ^ b ^ c").left.matchers == [("__name__", "=", "a")]
