@@ -1 +1 @@
-"""skein: telemetry and retrieval analytics as Spark DataFrame programs."""
+"""skein: analytics of metrics, logs, traces and search as Spark DataFrame programs."""

@@ -20,6 +20,7 @@ from skein.sources import discovery
 DAY0, HOUR = 1_736_121_600_000, 3_600_000  # 2025-01-06 00:00 UTC
 START, END, STEP = DAY0, DAY0 + 96 * HOUR, HOUR
 
+NOT_A_NUMBER, INFINITE = -9e99, 9e98
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -30,9 +31,11 @@ def sample_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flat(df: DataFrame, names: list[str]) -> DataFrame:
-    """step, value and the named labels as columns; finite values only, rounded beside the ties that sums leave open."""
-    own = [lab.get(F.col("labels"), n).alias(n) for n in names]
-    return df.filter(~F.isnan("value") & (F.abs("value") != float("inf"))).select(*own, "step", F.round(F.col("value") + 2e-8, 6).alias("value"))
+    """step, value and the named labels as columns, rounded beside the ties that sums leave open. NaN and infinite values
+    are stood for by numbers (NOT_A_NUMBER, INFINITE), so that every engine compares them alike."""
+    own, v = [lab.get(F.col("labels"), n).alias(n) for n in names], F.col("value")
+    shown = F.when(F.isnan(v), F.lit(NOT_A_NUMBER)).when(F.abs(v) == float("inf"), F.signum(v) * INFINITE).otherwise(F.round(v + 2e-8, 6))
+    return df.select(*own, "step", shown.alias("value"))
 
 
 def every(df: DataFrame, names: list[str]) -> DataFrame:
@@ -67,15 +70,18 @@ def prom(name: str, text: str, labels: list[str], sql: str) -> None:
         QUERIES[f"{name}_1h"] = lambda spark, d: every(evaluate(spark, sample_view(spark, d), whole, START, END, STEP), labels)
 
 
-FINITE = "isfinite(value)"
+FINITE = "true"
 HALF = 1_800_000
 
 
+SHOWN = f"CASE WHEN isnan(value) THEN {NOT_A_NUMBER} WHEN isinf(value) THEN sign(value) * {INFINITE} ELSE round(value + 2e-8, 6) END"
+
+
 def by_job(inner: str, ms: int = HALF, op: str = "sum") -> str:
     """SQL of ``op by (job) (f(sample[..]))``; ``inner``: expression over the rows w of one series and step."""
     return over(ms) + f"""r AS (SELECT namespace, ls, job, t, {inner} AS x FROM w GROUP BY ALL),
 z AS (SELECT job, t AS step, {op}(x) AS value FROM r WHERE x IS NOT NULL GROUP BY ALL)
-SELECT job, step, round(value + 2e-8, 6) AS value FROM z WHERE {FINITE}"""
+SELECT job, step, {SHOWN} AS value FROM z WHERE {FINITE}"""
 
 
 def rate_sql(counter: bool, per_second: bool) -> str:
@@ -86,10 +92,10 @@ def rate_sql(counter: bool, per_second: bool) -> str:
 b AS (SELECT *, (t1 - t0) / 1000 AS sd, (t1 - t0) / 1000 / (n - 1) AS av, (t0 - t + {HALF}) / 1000 AS s0, (t - t1) / 1000 AS e0 FROM a),
 c AS (SELECT *, CASE WHEN s0 >= av * 1.1 THEN av / 2 ELSE s0 END AS st, CASE WHEN e0 >= av * 1.1 THEN av / 2 ELSE e0 END AS en FROM b),
 z AS (SELECT job, t AS step, sum(ch * ((sd + ({zero}) + en) / sd){" / 1800" if per_second else ""}) AS value FROM c GROUP BY ALL)
-SELECT job, step, round(value + 2e-8, 6) AS value FROM z WHERE {FINITE}"""
+SELECT job, step, {SHOWN} AS value FROM z WHERE {FINITE}"""
 
 
-# Samples that are NaN or infinite make sums of their job NaN in either engine; such rows are left out on both sides.
+# Samples that are NaN or infinite make sums of their job NaN or infinite in either engine.
 prom("promql_rate", "sum by (job) (rate(sample[30m]))", ["job"], rate_sql(True, True))
 prom("promql_increase", "sum by (job) (increase(sample[30m]))", ["job"], rate_sql(True, False))
 prom("promql_delta", "sum by (job) (delta(sample[30m]))", ["job"], rate_sql(False, False))
@@ -106,7 +112,7 @@ for _f, _sql in RANGE.items():
 prom("promql_stdvar_over_time", "max by (job) (stdvar_over_time(sample[30m]) / (avg_over_time(sample[30m]) ^ 2 + 1))", ["job"],
      over(HALF) + f"""r AS (SELECT job, t, CASE WHEN sum(CASE WHEN isfinite(v) THEN 0 ELSE 1 END) = 0 THEN var_pop(CASE WHEN isfinite(v) THEN v END) / (avg(CASE WHEN isfinite(v) THEN v END) ^ 2 + 1) ELSE 'nan'::DOUBLE END AS x
  FROM w GROUP BY namespace, ls, job, t),
-z AS (SELECT job, t AS step, coalesce(max(CASE WHEN NOT isnan(x) THEN x END), 'nan'::DOUBLE) AS value FROM r GROUP BY ALL) SELECT job, step, round(value + 2e-8, 6) AS value FROM z WHERE {FINITE}""")
+z AS (SELECT job, t AS step, coalesce(max(CASE WHEN NOT isnan(x) THEN x END), 'nan'::DOUBLE) AS value FROM r GROUP BY ALL) SELECT job, step, {SHOWN} AS value FROM z WHERE {FINITE}""")
 INSTANT = SERIES + GRID + """
 i AS (SELECT namespace, ls, job, metric, t, arg_max(v, ts) AS v, arg_max(stale, ts) AS stale, max(ts) AS ts FROM q JOIN g ON ts > t - 300000 AND ts <= t GROUP BY ALL),
 n AS (SELECT * EXCLUDE (stale) FROM i WHERE NOT stale),
@@ -115,7 +121,7 @@ n AS (SELECT * EXCLUDE (stale) FROM i WHERE NOT stale),
 
 def instant(name: str, text: str, labels: list[str], value: str, group: str = "job", where: str = "true") -> None:
     cols = f"{group}, " if group else ""
-    prom(name, text, labels, INSTANT + f"z AS (SELECT {cols}t AS step, {value} AS value FROM n WHERE {where} GROUP BY ALL) SELECT {cols}step, round(value + 2e-8, 6) AS value FROM z WHERE {FINITE}")
+    prom(name, text, labels, INSTANT + f"z AS (SELECT {cols}t AS step, {value} AS value FROM n WHERE {where} GROUP BY ALL) SELECT {cols}step, {SHOWN} AS value FROM z WHERE {FINITE}")
 
 
 instant("promql_sum", "sum by (job) (sample)", ["job"], "sum(v)")
@@ -152,7 +158,7 @@ prom("promql_and", "count by (job) (sample) and on (job) (sample > 100)", ["job"
 prom("promql_unless", "count by (job) (sample) unless on (job) (sample > 100)", ["job"], PRESENT + "ANTI JOIN a USING (job, t)")
 prom("promql_or", "count by (job) (sample > 100) or count by (job) (sample)", ["job"], INSTANT + "a AS (SELECT job, t, count(*) FILTER (v > 100 AND NOT isnan(v)) AS x, count(*) AS y FROM n GROUP BY ALL) SELECT job, t AS step, (CASE WHEN x > 0 THEN x ELSE y END)::DOUBLE AS value FROM a")
 prom("promql_absent", "absent(sample{job=~'amber.*'} > 1000)", [], INSTANT + "a AS (SELECT DISTINCT t FROM n WHERE job LIKE 'amber%' AND v > 1000 AND NOT isnan(v)) SELECT t AS step, 1.0::DOUBLE AS value FROM g ANTI JOIN a USING (t)")
-prom("promql_scalar_time", "vector(scalar(count(sample)) + time())", [], INSTANT + "c AS (SELECT t, count(*) AS k FROM n GROUP BY 1) SELECT t AS step, round(k + t / 1000 + 2e-8, 6) AS value FROM g JOIN c USING (t)")
+prom("promql_scalar_time", "vector(scalar(count(sample)) + time())", [], INSTANT + "c AS (SELECT t, count(*) AS k FROM n GROUP BY 1) SELECT t AS step, coalesce(round(k + t / 1000 + 2e-8, 6), " + str(NOT_A_NUMBER) + ") AS value FROM g LEFT JOIN c USING (t)")
 prom("promql_deriv", "count by (job) (deriv(sample[30m]) > 0)", ["job"], over(HALF) + """r AS (SELECT job, regr_slope(v, (ts - t) / 1000) AS x, min(v) AS lo, max(v) AS hi, t FROM w GROUP BY namespace, ls, job, t HAVING count(*) > 1 AND bool_and(isfinite(v)))
 SELECT job, t AS step, count(*)::DOUBLE AS value FROM r WHERE x > 0 AND lo <> hi GROUP BY ALL""")
 
@@ -202,7 +208,7 @@ def native(name: str, text: str, value: str) -> None:
     ORACLES[name] = f"""WITH s AS (SELECT namespace, list_sort(list_filter(labels, lambda x: x.value <> '')) AS ls, timestamp_ms AS ts, arg_max(hist_count, hist_id) AS c, arg_max(coalesce(hist_sum, 'nan'::DOUBLE), hist_id) AS total
   FROM histograms WHERE hist_count IS NOT NULL GROUP BY ALL), {GRID}
 n AS (SELECT namespace, ls, t, arg_max(c, ts) AS c, arg_max(total, ts) AS total FROM s JOIN g ON ts > t - 300000 AND ts <= t GROUP BY ALL),
-z AS (SELECT namespace, t AS step, {value} AS value FROM n GROUP BY ALL) SELECT namespace, step, round(value + 2e-8, 6) AS value FROM z WHERE {FINITE}"""
+z AS (SELECT namespace, t AS step, {value} AS value FROM n GROUP BY ALL) SELECT namespace, step, {SHOWN} AS value FROM z WHERE {FINITE}"""
 
 
 native("promql_native_count", "sum by (namespace) (histogram_count(h))", "sum(c)")
@@ -384,9 +390,9 @@ def document_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 FILES = "WITH f AS (SELECT '/' || coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/' || doc_id || '.txt' AS path, text, strlen(text) AS size FROM documents WHERE text IS NOT NULL) "
-QUERIES["files_glob"] = lambda spark, d: fs.glob(document_files(spark, d), "/{en,de}/wiki/amber*/*[05].txt", 1 << 30).select("path", "size")
+QUERIES["files_glob"] = lambda spark, d: fs.glob(document_files(spark, d), "/{en,de}/wiki/amber*/*[05].txt", None).select("path", "size")
 ORACLES["files_glob"] = FILES + "SELECT path, size FROM f WHERE regexp_matches(path, '^/(en|de)/wiki/amber[^/]*/[^/]*[05]\\.txt$')"
-QUERIES["files_grep"] = lambda spark, d: fs.grep(document_files(spark, d), "without warning", fixed=True, limit=1 << 30).select("path", "line_number", "line")
+QUERIES["files_grep"] = lambda spark, d: fs.grep(document_files(spark, d), "without warning", fixed=True, limit=None).select("path", "line_number", "line")
 ORACLES["files_grep"] = FILES + """, l AS (SELECT path, unnest(regexp_split_to_array(regexp_replace(text, '\\n$', ''), '\\r?\\n')) AS line, generate_subscripts(regexp_split_to_array(regexp_replace(text, '\\n$', ''), '\\r?\\n'), 1) AS line_number FROM f WHERE NOT contains(text, chr(0)))
 SELECT path, line_number, line FROM l WHERE contains(line, 'without warning')"""
 QUERIES["discovery_label_values"] = lambda spark, d: discovery.label_values(model.metric_samples(spark, d), "job", ['{__name__=~"tel_.*"}'])
@@ -425,10 +431,10 @@ instant("promql_unary_minus", "min by (job) (-(sample == sample))", ["job"], "mi
 instant("promql_division", "max by (job) (1 / (1 + abs(sample == sample)))", ["job"], "max(1 / (1 + abs(v)))", "job", NUMBER)
 prom("promql_label_join", "count by (pair) (label_join(sample, 'pair', '/', 'namespace', 'job'))", ["pair"], INSTANT + "z AS (SELECT namespace || '/' || coalesce(job, '') AS pair, t AS step, count(*)::DOUBLE AS value FROM n GROUP BY ALL) SELECT pair, step, value FROM z")
 prom("promql_quantile_over_time", "max by (job) (quantile_over_time(0.75, sample[30m]))", ["job"], over(HALF) + f"""r AS (SELECT job, t, quantile_cont(v, 0.75) AS x FROM w GROUP BY namespace, ls, job, t HAVING bool_and(isfinite(v))),
-z AS (SELECT job, t AS step, max(x) AS value FROM r GROUP BY ALL) SELECT job, step, round(value + 2e-8, 6) AS value FROM z WHERE {FINITE}""")
+z AS (SELECT job, t AS step, max(x) AS value FROM r GROUP BY ALL) SELECT job, step, {SHOWN} AS value FROM z WHERE {FINITE}""")
 ORACLES["promql_quantile_over_time"] = over(HALF) + f"""o AS (SELECT namespace, ls, job, t, list_sort(list(CASE WHEN isnan(v) THEN '-inf'::DOUBLE ELSE v END)) AS a, count(*) FILTER (isnan(v)) AS m FROM w GROUP BY ALL),
 p AS (SELECT *, 0.75 * (len(a) - 1) AS pos FROM o), r AS (SELECT job, t, CASE WHEN floor(pos) < m THEN 'nan'::DOUBLE WHEN floor(pos) = pos THEN a[pos::INT + 1] ELSE a[floor(pos)::INT + 1] * (1 - pos + floor(pos)) + a[floor(pos)::INT + 2] * (pos - floor(pos)) END AS x FROM p),
-z AS (SELECT job, t AS step, coalesce(max(CASE WHEN NOT isnan(x) THEN x END), 'nan'::DOUBLE) AS value FROM r GROUP BY ALL) SELECT job, step, round(value + 2e-8, 6) AS value FROM z WHERE {FINITE}"""
+z AS (SELECT job, t AS step, coalesce(max(CASE WHEN NOT isnan(x) THEN x END), 'nan'::DOUBLE) AS value FROM r GROUP BY ALL) SELECT job, step, {SHOWN} AS value FROM z WHERE {FINITE}"""
 prom("promql_stddev_over_time", "count by (job) (stddev_over_time(sample[30m]) > 1)", ["job"], over(HALF) + "r AS (SELECT job, t, stddev_pop(v) AS x FROM w GROUP BY namespace, ls, job, t HAVING bool_and(isfinite(v))) SELECT job, t AS step, count(*)::DOUBLE AS value FROM r WHERE x > 1 GROUP BY ALL")
 prom("promql_predict_linear", "count by (job) (predict_linear(sample[30m], 600) > 1000)", ["job"], over(HALF) + """r AS (SELECT job, t, CASE WHEN min(v) = max(v) THEN min(v) ELSE regr_intercept(v, (ts - t) / 1000) + 600 * regr_slope(v, (ts - t) / 1000) END AS x FROM w GROUP BY namespace, ls, job, t HAVING count(*) > 1 AND bool_and(isfinite(v)))
 SELECT job, t AS step, count(*)::DOUBLE AS value FROM r WHERE x > 1000 GROUP BY ALL""")
@@ -457,7 +463,7 @@ logql("logql_bottomk", f"bottomk(2, sum by (app) (count_over_time({ALL}[1h])))",
 logql("logql_and_unless", f'(sum by (app) (count_over_time({ALL}[1h])) and on (app) sum by (app) (count_over_time({ALL} |= "retry" [1h]))) unless on (app) sum by (app) (count_over_time({ALL} |= "lease" [1h]))', ["app"], "SELECT app, t AS step, count(*)::DOUBLE AS value FROM w GROUP BY ALL HAVING bool_or(contains(line, 'retry')) AND NOT bool_or(contains(line, 'lease'))")
 logql("logql_or_vector", f'sum(count_over_time({ALL} |= "panicked" [1h])) or vector(0)', [], "SELECT g.t AS step, count(*) FILTER (contains(line, 'panicked'))::DOUBLE AS value FROM g LEFT JOIN w ON g.t = w.t GROUP BY 1")
 logql("logql_label_replace", f'sum by (team) (label_replace(sum by (namespace) (count_over_time({ALL}[1h])), "team", "$1", "namespace", "([a-z]+)-.*"))', ["team"], "SELECT regexp_extract(namespace, '^([a-z]+)-.*$', 1) AS team, t AS step, count(*)::DOUBLE AS value FROM w GROUP BY ALL")
-logql("logql_division_by_zero", f"sum by (app) (count_over_time({ALL}[1h])) / 0", ["app"], "SELECT app, t AS step, 0.0::DOUBLE AS value FROM w WHERE false")
+logql("logql_division_by_zero", f"sum by (app) (count_over_time({ALL}[1h])) / 0", ["app"], f"SELECT app, t AS step, {NOT_A_NUMBER}::DOUBLE AS value FROM w GROUP BY ALL")
 logql("logql_pattern", f'sum by (code) (count_over_time({ALL} |= "lease renewed until" | pattern "<_>renewed until <code>:<_>" | code=~"[0-9][0-9]" | keep code [1h]))', ["code"], "SELECT regexp_extract(line, '^.*?renewed until ([^:]*):', 1) AS code, t AS step, count(*)::DOUBLE AS value FROM w WHERE contains(line, 'lease renewed until') AND regexp_matches(regexp_extract(line, '^.*?renewed until ([^:]*):', 1), '^[0-9][0-9]$') GROUP BY ALL")
 logql("logql_line_format", f'sum by (app) (bytes_over_time({ALL} |= "lease" | line_format "{{{{.app}}}}: {{{{ __line__ | ToUpper | trunc 5 }}}}" [1h]))', ["app"], "SELECT app, t AS step, sum(strlen(app || ': ' || upper(substr(line, 1, 5))))::DOUBLE AS value FROM w WHERE contains(line, 'lease') GROUP BY ALL")
 logql("logql_label_format", f'sum by (unit) (count_over_time({ALL} | label_format unit="{{{{ .app | trunc 4 }}}}-{{{{ .namespace }}}}" | keep unit [1h]))', ["unit"], "SELECT substr(app, 1, 4) || '-' || namespace AS unit, t AS step, count(*)::DOUBLE AS value FROM w GROUP BY ALL")

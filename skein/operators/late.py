@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.runtime import cut
+
 STATE = ["on_time", "late", "dropped"]
 
 
@@ -64,18 +66,35 @@ def counts(state: DataFrame, keys: list[str]) -> DataFrame:
 def statistics(state: DataFrame, keys: list[str], corrected: bool = True) -> DataFrame:
     """Exact n, distinct, minimum, maximum and lower median per period, of the corrected or the first state.
 
-    The rank of a value is its cumulative count within the period, so the window holds distinct values, not rows.
-    Null and NaN values don't count here.
+    The state is cut into ranges by (keys, period, value), so a period with a third of all values spreads over tasks, and
+    written once. Each range gives a period's counts and extremes; a window over these few rows (one per range and
+    period) tells how many values lie below each range, and only the range that holds the middle is ranked value by
+    value. Null and NaN values don't count here.
     """
     n = F.col("on_time") + F.col("late") if corrected else F.col("on_time")
-    rows = state.withColumn("_n", n).filter((F.col("_n") > 0) & F.col("value").isNotNull())
+    rows = state.select(*keys, "period_start_ms", "value", n.alias("_n")).filter((F.col("_n") > 0) & F.col("value").isNotNull())
     if dict(state.dtypes)["value"] in ("double", "float"):
         rows = rows.filter(~F.isnan("value"))
-    by = Window.partitionBy(*keys, "period_start_ms")
-    upto = by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(by)})
+    period = [*keys, "period_start_ms"]
+    ranges = cut(rows.repartitionByRange(*period, "value").withColumn("_range", F.spark_partition_id()))
+    parts = ranges.groupBy(*period, "_range").agg(F.sum("_n").alias("_m"), F.count("*").alias("_d"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    by = Window.partitionBy(*period)
+    below = by.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumns({"_all": F.sum("_m").over(by), "_below": F.coalesce(F.sum("_m").over(below), F.lit(0))})
     middle = F.floor((F.col("_all") + 1) / 2)
-    return ranked.groupBy(*keys, "period_start_ms").agg(
-        F.sum("_n").alias("n"), F.count("*").alias("distinct_values"), F.min("value").alias("minimum"),
-        F.max("value").alias("maximum"), F.min(F.when(F.col("_upto") >= middle, F.col("value"))).alias("median"),
+    whole = placed.groupBy(*period).agg(
+        F.sum("_m").alias("n"), F.sum("_d").alias("distinct_values"), F.min("_lo").alias("minimum"), F.max("_hi").alias("maximum"),
+        F.max(F.when((F.col("_below") < middle) & (middle <= F.col("_below") + F.col("_m")), F.struct("_range", (middle - F.col("_below")).alias("_rank")))).alias("_at"),
     )
+    key = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in period]
+    held = whole.select(*period, "n", "distinct_values", "minimum", "maximum", F.col("_at._range").alias("_range"), F.col("_at._rank").alias("_rank"), F.xxhash64(*key).alias("_key"))
+    inside = ranges.withColumn("_key", F.xxhash64(*key)).join(held.select("_key", "_range", "_rank", *[F.col(k).alias(f"_{k}") for k in period]), ["_key", "_range"])
+    for k in period:  # null keys are equal here
+        inside = inside.filter(F.col(k).eqNullSafe(F.col(f"_{k}")))
+    upto = Window.partitionBy(*period, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("_upto", F.sum("_n").over(upto)).filter(F.col("_upto") >= F.col("_rank"))
+    median = ranked.groupBy("_key", *period).agg(F.min("value").alias("median")).select("_key", *[F.col(k).alias(f"_{k}") for k in period], "median")
+    same = F.col("held._key") == F.col("m._key")
+    for k in period:
+        same = same & F.col(f"held.{k}").eqNullSafe(F.col(f"m._{k}"))
+    return held.alias("held").join(median.alias("m"), same).select(*[F.col(f"held.{k}") for k in period], "n", "distinct_values", "minimum", "maximum", "median")

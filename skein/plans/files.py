@@ -53,10 +53,10 @@ def glob_regex(pattern: str) -> str:
     return "^" + "".join(out) + ("" if not depth else ")" * depth) + "$"
 
 
-def glob(files: DataFrame, pattern: str, limit: int = GLOB_LIMIT) -> DataFrame:
-    """Entries whose path matches, depth first: a directory before what lies in it."""
+def glob(files: DataFrame, pattern: str, limit: int | None = GLOB_LIMIT) -> DataFrame:
+    """Entries whose path matches, depth first: a directory before what lies in it. Without a limit there is no order."""
     hit = files.filter(F.col("path").rlike(glob_regex(pattern)))
-    return hit.orderBy("tenant", F.split("path", "/")).limit(limit)
+    return hit if limit is None else hit.orderBy("tenant", F.split("path", "/")).limit(limit)
 
 
 def is_binary() -> Column:
@@ -79,8 +79,9 @@ def lines(files: DataFrame) -> DataFrame:
     return rows.select("tenant", "path", F.posexplode(kept).alias("n", "line")).select("tenant", "path", (F.col("n") + 1).alias("line_number"), "line")
 
 
-def grep(files: DataFrame, pattern: str, fixed: bool = False, ignore_case: bool = False, before: int = 0, after: int = 0, under: str | None = None, limit: int = GREP_LIMIT) -> DataFrame:
-    """tenant, path, line_number, line, before, after: matching lines with their context, in path and line order."""
+def grep(files: DataFrame, pattern: str, fixed: bool = False, ignore_case: bool = False, before: int = 0, after: int = 0, under: str | None = None, limit: int | None = GREP_LIMIT) -> DataFrame:
+    """tenant, path, line_number, line, before, after: matching lines with their context, in path and line order; without
+    a limit there is no order."""
     rows = lines(files if under is None else files.filter(F.col("path").rlike(glob_regex(under))))
     expr = ("(?i)" if ignore_case else "") + (re.escape(pattern) if fixed else to_java(pattern))
     if before or after:
@@ -92,7 +93,8 @@ def grep(files: DataFrame, pattern: str, fixed: bool = False, ignore_case: bool
         })
     else:
         rows = rows.withColumns({"before": F.array().cast("array<string>"), "after": F.array().cast("array<string>")})
-    return rows.filter(F.col("line").rlike(expr)).orderBy("tenant", "path", "line_number").limit(limit)
+    hit = rows.filter(F.col("line").rlike(expr))
+    return hit if limit is None else hit.orderBy("tenant", "path", "line_number").limit(limit)
 
 
 def stat(files: DataFrame, path: str) -> DataFrame:
@@ -106,7 +108,7 @@ def mkdir(files: DataFrame, tenant: str, path: str) -> DataFrame:
 
 
 def iterdir(files: DataFrame, path: str) -> DataFrame:
-    return glob(files, re.sub(r"([*?\[\]{}])", r"[\1]", path.rstrip("/")) + "/*", limit=1 << 30)
+    return glob(files, re.sub(r"([*?\[\]{}])", r"[\1]", path.rstrip("/")) + "/*", limit=None)
 
 
 def read(files: DataFrame, path: str, offset: int = 0, length: int | None = None) -> DataFrame:

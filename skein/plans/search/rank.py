@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql.window import Window
 from skein.functions.words import analyse
 from skein.plans.promql.parser import QueryError
 from skein.plans.search import filters
-from skein.runtime import is_small
+from skein.runtime import cut, is_small
 
 DEFAULT_TOP_K, MOST_ROWS = 10, 10_000
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -209,7 +211,8 @@ def fuse(results: list[tuple[DataFrame, list[Column]]], k: int = RRF_K, limit: i
     parts = []
     for df, order in results:
         rank = F.row_number().over(Window.orderBy(*order))
-        parts.append(df.limit(MOST_ROWS).select("id", (1.0 / (k + rank)).alias("s")))
+        top = df.orderBy(*order).limit(MOST_ROWS)  # the first in rank order
+        parts.append(top.select("id", (1.0 / (k + rank)).alias("s")))
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
@@ -223,6 +226,12 @@ def project(result: DataFrame, include: list[str] | None = None, exclude: list[s
     return result.select(*[F.col(f"`{c}`") for c in fixed + rest])
 
 
+def multi(rows: DataFrame, requests: list[Callable[[DataFrame], DataFrame]]) -> list[DataFrame]:
+    """Results of several requests, all over one state of the rows, which is written once."""
+    state = cut(rows)
+    return [request(state) for request in requests]
+
+
 def get(rows: DataFrame, row_id: str) -> DataFrame:
     return rows.filter(F.col("id") == row_id)
 

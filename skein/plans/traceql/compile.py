@@ -347,9 +347,9 @@ def label(e) -> str:
 
 def legacy_tags(tags: str) -> str:
     """The query of a tags=... search: logfmt pairs become conditions on unscoped attributes."""
-    from skein.plans.logql.stages import logfmt
+    from skein.plans.logql.stages import logfmt_pairs
 
-    pairs, _ = logfmt(tags, False, True)
+    pairs = logfmt_pairs(tags)
     quote = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
     return "{ " + " && ".join(f".{k} = {quote(v)}" for k, v in pairs.items()) + " }"
 

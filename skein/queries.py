@@ -42,6 +42,12 @@ def p2_grid(spark: SparkSession, d: str) -> DataFrame:
     return _kinds(_grid(spark, d, within_days=True))
 
 
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """The periods within the days that have a value, read or carried forward."""
+    grid = _grid(spark, d, within_days=True)
+    return grid.filter(F.col("observed") | F.col("filled")).select("series_id", "period_start_ms", "value", "filled")
+
+
 def p2_series(spark: SparkSession, d: str) -> DataFrame:
     """Of every period from a series' first reading to its last."""
     return _kinds(_grid(spark, d, within_days=False))
@@ -90,10 +96,6 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return late.statistics(_late_state(spark, d).filter(F.col("src") == "log"), ["src", "namespace"])
-
-
-def p4_statistics_all(spark: SparkSession, d: str) -> DataFrame:
     """Of both sources: values of samples, byte lengths of log lines."""
     return late.statistics(_late_state(spark, d), ["src", "namespace"])
 
@@ -106,7 +108,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_grid, p2_series, p3_found, p3_messages, p3_templates, p4_found, p4_statistics, p4_statistics_all, p5_found)}
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    """trace_id, span_id, path: the ids from the root to the span, null on or below a cycle."""
+    found = hierarchy.resolve(hierarchy.span_links(table(spark, d, "spans")), with_path=True)
+    return found.select(F.col("tree").alias("trace_id"), F.col("node").alias("span_id"), F.array_join("path", "/").alias("path"))
+
+
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """trace_id, span_id, descendant, distance: every pair of a span and a span below it."""
+    found = hierarchy.descendants(hierarchy.resolve(hierarchy.span_links(table(spark, d, "spans")), with_path=True))
+    return found.select(F.col("tree").alias("trace_id"), F.col("node").alias("span_id"), "descendant", F.col("distance").cast("bigint").alias("distance"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_requests, p2_found, p2_grid, p2_values, p2_series, p3_found, p3_messages, p3_templates, p4_found, p4_statistics, p5_found, p5_paths, p5_descendants)}
 
 _P1 = """
 WITH w AS (SELECT *, lower(regexp_replace(request_id, '^\\s+|\\s+$', '', 'g')) AS rid FROM write_batches),
@@ -131,7 +145,26 @@ WITH r AS (
   FROM log_entries WHERE ingested_at IS NOT NULL GROUP BY ALL),
 k AS (SELECT *, ms - ms % 300000 AS p FROM r)
 """
+_P5 = """
+WITH RECURSIVE l AS (
+  SELECT lower(trace_id) AS t, lower(span_id) AS s,
+    min_by(coalesce(lower(list_filter(refs, lambda r: r.ref_type = 'CHILD_OF' AND lower(r.trace_id) = lower(trace_id))[1].span_id), ''), ingested_at) AS raw
+  FROM spans GROUP BY 1, 2),
+e AS (SELECT a.t, a.s, b.s AS parent FROM l a LEFT JOIN l b ON a.t = b.t AND a.raw = b.s),
+up AS (SELECT t, s, s AS at, 0 AS depth FROM e WHERE parent IS NULL
+  UNION ALL SELECT e.t, e.s, up.at, up.depth + 1 FROM up JOIN e ON e.t = up.t AND e.parent = up.s),
+anc AS (SELECT e.t, e.s, e.parent AS a FROM e JOIN up ON e.t = up.t AND e.s = up.s WHERE e.parent IS NOT NULL
+  UNION ALL SELECT anc.t, anc.s, e.parent FROM anc JOIN e ON e.t = anc.t AND e.s = anc.a WHERE e.parent IS NOT NULL)"""
 ORACLES = {
+    "p5_paths": _P5.replace("s AS at, 0 AS depth", "s AS at, 0 AS depth, s AS path").replace("up.depth + 1 FROM", "up.depth + 1, up.path || '/' || e.s FROM")
+    + " SELECT e.t AS trace_id, e.s AS span_id, up.path FROM e LEFT JOIN up ON e.t = up.t AND e.s = up.s",
+    "p5_descendants": _P5.replace("e.parent AS a FROM", "e.parent AS a, 1 AS far FROM").replace("anc.s, e.parent FROM", "anc.s, e.parent, anc.far + 1 FROM")
+    + " SELECT t AS trace_id, a AS span_id, s AS descendant, far::BIGINT AS distance FROM anc",
+    "p2_values": _P2 + """, v AS (SELECT m.series_id, a.timestamp_ms - a.timestamp_ms % m.interval_ms AS p, max((a.timestamp_ms, a.value)) AS newest
+        FROM (SELECT namespace, timestamp_ms, value, list_sort(list_filter(labels, lambda x: x.value <> '')) AS ls FROM samples WHERE value IS NOT NULL AND NOT isnan(value) AND NOT coalesce(stale, false)) a
+        JOIN (SELECT series_id, interval_ms, namespace, list_sort(list_filter(labels, lambda x: x.value <> '')) AS ls FROM metric_series) m ON a.namespace = m.namespace AND a.ls = m.ls GROUP BY ALL),
+        o AS (SELECT g.series_id, g.p, b.p IS NOT NULL AS ok, max(b.p) OVER (PARTITION BY g.series_id, g.day ORDER BY g.p) AS seen FROM g LEFT JOIN b ON g.series_id = b.series_id AND g.p = b.p)
+        SELECT o.series_id, o.p AS period_start_ms, v.newest[2] AS value, NOT ok AS filled FROM o JOIN v ON v.series_id = o.series_id AND v.p = o.seen WHERE ok OR o.p - seen <= 300000""",
     "p1_found": _P1 + "SELECT delivery_id FROM r WHERE k > 1",
     "p1_requests": _P1 + """, kept AS (SELECT namespace, n_samples FROM r WHERE k = 1
         UNION ALL SELECT namespace, n_samples FROM w WHERE rid IS NULL OR rid = '')
@@ -150,9 +183,6 @@ ORACLES = {
         count(*) FILTER (us < (p + 2100000) * 1000) AS final_count, count(*) FILTER (us >= (p + 2100000) * 1000) AS dropped_count
         FROM k GROUP BY 1, 2, 3 HAVING count(*) FILTER (us >= (p + 300000) * 1000) > 0""",
     "p4_statistics": _P4 + """SELECT src, namespace, p AS period_start_ms, count(value) AS n, count(DISTINCT value) AS distinct_values,
-        min(value)::DOUBLE AS minimum, max(value)::DOUBLE AS maximum, quantile_disc(value, 0.5)::DOUBLE AS median
-        FROM k WHERE src = 'log' AND us < (p + 2100000) * 1000 AND value IS NOT NULL GROUP BY 1, 2, 3""",
-    "p4_statistics_all": _P4 + """SELECT src, namespace, p AS period_start_ms, count(value) AS n, count(DISTINCT value) AS distinct_values,
         min(value)::DOUBLE AS minimum, max(value)::DOUBLE AS maximum, quantile_disc(value, 0.5)::DOUBLE AS median
         FROM k WHERE us < (p + 2100000) * 1000 AND value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2, 3""",
     "p5_found": """

@@ -17,7 +17,7 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where unset, a folder of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only where unset, and only in local mode, one of our own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
@@ -25,6 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -1,4 +1,4 @@
-"""Telemetry in JSON to model rows, with from_json and explode only: OTLP metrics, logs and traces, Loki push, Zipkin, bulk NDJSON."""
+"""Metrics, logs and traces in JSON to model rows, with from_json and explode only: OTLP metrics, logs and traces, Loki push, Zipkin, bulk NDJSON."""
 
 from __future__ import annotations
 
@@ -78,7 +78,7 @@ def metrics(bodies: DataFrame, column: str = "value") -> DataFrame:
     )
     service = F.concat_ws("/", attribute(F.col("ra"), "service.namespace"), attribute(F.col("ra"), "service.name"))
     base = F.concat(pairs(F.col("ra")), _label("job", service), _label("instance", F.coalesce(attribute(F.col("ra"), "service.instance.id"), F.lit(""))))
-    ts = (F.col("p.timeUnixNano").cast("bigint") / 1_000_000).cast("bigint")
+    ts = F.expr("cast(p.timeUnixNano AS bigint) div 1000000")  # not by a float, which is too coarse
 
     def points(field: str, name: Column, delta: bool = True) -> DataFrame:
         rows = m.filter(F.col(field).isNotNull())

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from skein.functions.histograms import HISTOGRAM
 
@@ -189,3 +190,48 @@ def remote_write(bodies: DataFrame, column: str = "content") -> DataFrame:
                     yield pd.DataFrame(rows)
 
     return bodies.select(column).mapInPandas(run, f"labels array<struct<name:string,value:string>>, ts_ms long, value double, stale boolean, hist {HISTOGRAM}")
+
+
+# --- bodies of our own, to hand samples on ----------------------------------------------------------------------------
+
+
+def _put_varint(n: int) -> bytes:
+    out = bytearray()
+    n &= (1 << 64) - 1
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _field(number: int, data: bytes) -> bytes:
+    return _put_varint(number << 3 | 2) + _put_varint(len(data)) + data
+
+
+def snappy(data: bytes) -> bytes:
+    """A block of literals only."""
+    out = [_put_varint(len(data))]
+    for at in range(0, len(data), 1 << 16):
+        part = data[at : at + (1 << 16)]
+        out += [bytes([61 << 2]), (len(part) - 1).to_bytes(2, "little"), part]
+    return b"".join(out)
+
+
+def body(labels: list[tuple[str, str]], samples: list[tuple[int, float]], version: int = 1) -> bytes:
+    """A write request of one series."""
+    points = b"".join(_field(2, b"\x09" + struct.pack("<d", v) + b"\x10" + _put_varint(ts)) for ts, v in samples)
+    if version == 1:
+        return snappy(_field(1, b"".join(_field(1, _field(1, n.encode()) + _field(2, v.encode())) for n, v in labels) + points))
+    symbols = ["", *dict.fromkeys(x for pair in labels for x in pair)]
+    refs = b"".join(_put_varint(symbols.index(x)) for pair in labels for x in pair)
+    return snappy(b"".join(_field(4, x.encode()) for x in symbols) + _field(5, _field(1, refs) + points))
+
+
+def encoded(rows: DataFrame, version: int = 1) -> DataFrame:
+    """content: a write request per row of labels, timestamp_ms and value."""
+
+    @F.pandas_udf("binary")
+    def run(labels: pd.Series, ts: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([body([(x["name"], x["value"]) for x in ls], [(int(t), float(v))], version) for ls, t, v in zip(labels, ts, value, strict=True)])
+
+    return rows.select(run("labels", "timestamp_ms", "value").alias("content"))
