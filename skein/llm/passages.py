@@ -30,6 +30,8 @@ BASE = 0x5851F42D4C957F2D
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX_ADD, MIX_1, MIX_2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 POSITION = np.uint64((1 << 24) - 1)
+#: Bits of an anchor's offset and number of windows in a packed spot; both are less than the span.
+SPOT_BITS = 12
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -107,7 +109,7 @@ def _anchor_rows(span: int, gram: int):
 
     ``slot`` is the hash, by which runs are bucketed and sorted. Of the rows of a block of texts that share a hash those of
     two documents keep it; the others are settled as candidates (``hot`` holds their hash) and get slots of their own, so
-    a passage in a third of all texts fills no bucket.
+    a passage in a third of all texts fills no bucket. ``spot`` packs first window, offset of the anchor and number of windows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +121,8 @@ def _anchor_rows(span: int, gram: int):
             if len(text):
                 settled = _settled(batch, hashed, doc)
             slot = np.where(settled, _mix(hashed ^ _mix(doc.astype(np.uint64))), hashed).view(np.int64)
-            columns = [pa.array(slot), pa.array(hashed.view(np.int64), mask=~settled), *(pa.array(c) for c in (doc, (first + shift[text]).astype(np.int32), offset.astype(np.int16), count.astype(np.int16)))]
+            spot = (first + shift[text]) << 2 * SPOT_BITS | offset << SPOT_BITS | count
+            columns = [pa.array(slot), pa.array(hashed.view(np.int64), mask=~settled), pa.array(doc), pa.array(spot)]
             return pa.RecordBatch.from_arrays([*columns, pa.array(batch.astype(np.int32))], SCHEMA.names)
 
         for batch in batches:
@@ -139,7 +142,7 @@ def _anchor_rows(span: int, gram: int):
     return run
 
 
-_FIELDS = (("slot", T.LongType()), ("hot", T.LongType()), ("doc", T.LongType()), ("first", T.IntegerType()), ("offset", T.ShortType()), ("windows", T.ShortType()), ("run", T.IntegerType()))
+_FIELDS = (("slot", T.LongType()), ("hot", T.LongType()), ("doc", T.LongType()), ("spot", T.LongType()), ("run", T.IntegerType()))
 SCHEMA = T.StructType([T.StructField(n, k) for n, k in _FIELDS])
 
 
@@ -163,6 +166,8 @@ class FingerprintIndex:
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, span: int = SPAN, gram: int = GRAM, buckets: int | None = None):
+        if span >= 1 << SPOT_BITS:
+            raise ValueError(f"spans must be shorter than {1 << SPOT_BITS}")
         self.spark, self.span, self.gram = spark, span, gram
         name = f"fingerprints_{uuid.uuid4().hex}"
         self.folder, self.table = folder or f"{shared_folder(spark).rstrip('/')}/{name}", name
@@ -190,7 +195,7 @@ class FingerprintIndex:
         chosen = F.lit(False)
         for v, r in kept:
             chosen = chosen | ((F.col("level") == v) & (F.col("run") == r))
-        return self.spark.table(self.table).filter(chosen).select("slot", F.coalesce("hot", "slot").alias("h"), "hot", "doc", "first", "offset", "windows", "run")
+        return self.spark.table(self.table).filter(chosen).select("slot", F.coalesce("hot", "slot").alias("h"), "hot", "doc", "spot", "run")
 
     def matches(self, run: int) -> DataFrame:
         """Rows of the runs up to ``run`` whose hash occurs in it and at least twice in all: candidates, to be verified."""
@@ -220,7 +225,7 @@ class FingerprintIndex:
             self.spark.catalog.refreshTable(self.table)
 
 
-CANDIDATE = ["h", "doc", "first", "offset", "windows"]
+CANDIDATE = ["h", "doc", "spot"]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -248,7 +253,9 @@ def shared_windows(candidates: DataFrame, docs: DataFrame, span: int = SPAN) ->
     aggregations with map-side partials: a passage in a third of all texts collapses before the shuffle, and no
     pairs are formed.
     """
-    spots = candidates.groupBy("doc").agg(F.collect_set(F.struct("h", "first", "offset", "windows")).alias("spots"))  # bounded by one text
+    low = (1 << SPOT_BITS) - 1
+    first, windows = F.shiftright("spot", 2 * SPOT_BITS).cast("int").alias("first"), F.col("spot").bitwiseAND(F.lit(low)).cast("int").alias("windows")
+    spots = candidates.select("doc", "h", first, windows).groupBy("doc").agg(F.collect_set(F.struct("h", "first", "windows")).alias("spots"))  # bounded by one text
     named = candidates.select("doc").distinct()
     held = docs.join(F.broadcast(named), "doc", "left_semi") if is_small(named, FILTER_DOCS) else docs
     cuts = held.join(spots, "doc").select(
