@@ -198,10 +198,10 @@ class FingerprintIndex:
         return self.spark.table(self.table).filter(chosen).select("slot", F.coalesce("hot", "slot").alias("h"), "hot", "doc", "spot", "run")
 
     def matches(self, run: int) -> DataFrame:
-        """Rows of the runs up to ``run`` whose hash occurs in it and at least twice in all: candidates, to be verified."""
+        """Rows of the runs up to ``run`` whose hash occurs in it and in two documents of all: candidates, to be verified."""
         rows = self.rows([r for _, r in self.runs if r <= run])
         plain = rows.filter(F.col("hot").isNull())
-        hashes = plain.groupBy("slot").agg(F.count("*").alias("n"), F.max("run").alias("newest")).filter((F.col("n") > 1) & (F.col("newest") == run)).select("slot")
+        hashes = plain.groupBy("slot").agg(F.min("doc").alias("one"), F.max("doc").alias("other"), F.max("run").alias("newest")).filter((F.col("one") != F.col("other")) & (F.col("newest") == run)).select("slot")
         settled = rows.filter(F.col("hot").isNotNull() & (F.col("run") == run))
         return plain.join(hashes.hint("merge"), "slot").select(CANDIDATE).unionByName(settled.select(CANDIDATE))
 
@@ -267,7 +267,7 @@ def shared_windows(candidates: DataFrame, docs: DataFrame, span: int = SPAN) ->
     cuts = _written(cuts.select("doc", "doc_id", "h", "first", "windows", one.alias("c1"), two.alias("c2"), "piece", number))
     classes = cuts.groupBy("h", "c1", "c2", "piece", "windows").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("cut").alias("cut"))
     whole = classes.filter(F.col("lo") != F.col("hi")).select("c1", "c2", F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") - 1).cast("int").alias("b"))).alias("parts"))
-    several = classes.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > 1).select("h")
+    several = classes.groupBy("h").agg(F.count("*").alias("k"), F.min("lo").alias("l"), F.max("hi").alias("u")).filter((F.col("k") > 1) & (F.col("l") != F.col("u"))).select("h")
     window = F.expr(f"substring(piece, i + 1, {span})")
     windows = classes.join(several, "h").select("cut", "piece", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("windows").cast("int") - 1)).alias("i"))
     windows = windows.select("cut", "lo", "hi", "i", F.xxhash64(window).alias("w1"), F.hash(window).alias("w2"))
