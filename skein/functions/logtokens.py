@@ -228,15 +228,15 @@ def roles_of(shapes: tuple[str, ...], kind: str) -> dict[str, int]:
 
 @lru_cache(1 << 16)
 def fits(own: tuple[str, ...], template: tuple[str, ...], kind: str) -> bool:
-    """Whether a line of these shapes belongs to the template: equal keys, or an equal header but for one token that
-    the template takes for the time or the level. The header ends where the grammar looks no further: with the
+    """Whether a line of these shapes belongs to the template: equal keys, or an equal header but for one word of no
+    known class that the template takes for the time or the level. The header ends where the grammar looks no further: with the
     second token of the message."""
     if kind != "words" or len(own) != len(template):
         return own == template
     role = roles_of(template, kind)
     end = min(max(role.values(), default=0) + 2, len(template))
     other = [i for i in range(end) if own[i] != template[i]]
-    return not other or (len(other) == 1 and other[0] in (role.get("time"), role.get("level")))
+    return not other or (len(other) == 1 and other[0] in (role.get("time"), role.get("level")) and own[other[0]] in ("w", "[w]"))
 
 
 def head(line: str, count: int) -> list[tuple[str, str]]:

@@ -171,8 +171,7 @@ def slots(leaves: DataFrame) -> DataFrame:
 
     The leaf decides: of each position the class that most of its distinct lines have there makes up the leaf's
     template, and the header grammar reads the template, not the line. A line whose header differs from the template
-    only in the token that stands for its time or its level takes the template's slots nevertheless, whatever that
-    token is; one that is built otherwise becomes a leaf of its own, as does a leaf's single line.
+    only in an unknown word that stands for its time or its level takes the template's slots nevertheless; one that is built otherwise becomes a leaf of its own, as does a leaf's single line.
     """
     positions = leaves.select("leaf", F.posexplode("shapes").alias("pos", "shape"))
     voted = positions.groupBy("leaf", "pos").agg(F.mode("shape", True).alias("shape"))
