@@ -334,12 +334,12 @@ def _window(name: str, hs: list[Hist], ts: list[int], after: list[bool], eff: in
     return out.times(factor), None
 
 
-def rollup(w, name: str) -> DataFrame | None:
+def rollup(w, name: str, own: list[str]) -> DataFrame | None:
     """labels, step, hist, hvalue, t1, n of windows that hold histograms; the window's array bounds the group."""
     if name not in ROLLUPS:
         return None
     rows = w.df.filter(F.col("hist").isNotNull())
-    g = rows.groupBy("labels", "step", "eff").agg(F.array_sort(F.collect_list(F.struct("ts", "hist", F.col("pv").isNotNull().alias("after")))).alias("w"), F.max("ts").alias("t1"))
+    g = rows.groupBy(*own, "step", "eff").agg(F.array_sort(F.collect_list(F.struct("ts", "hist", F.col("pv").isNotNull().alias("after")))).alias("w"), F.max("ts").alias("t1"))
     kind = T.StructType([T.StructField("hist", STRUCT), T.StructField("value", T.DoubleType())])
     range_ms = w.range_ms
 
@@ -351,10 +351,10 @@ def rollup(w, name: str) -> DataFrame | None:
             out.append((h.row() if h else None, v))
         return pd.DataFrame({"hist": pd.Series([o[0] for o in out], dtype=object), "value": pd.Series([o[1] for o in out], dtype=float)})
 
-    return g.withColumn("o", run("w", "eff")).select("labels", "step", "t1", F.size("w").alias("n"), F.col("o.hist").alias("hist"), F.nanvl(F.col("o.value"), F.lit(None).cast("double")).alias("hvalue"))
+    return g.withColumn("o", run("w", "eff")).select(*own, "step", "t1", F.size("w").alias("n"), F.col("o.hist").alias("hist"), F.nanvl(F.col("o.value"), F.lit(None).cast("double")).alias("hvalue"))
 
 
-def join_rollup(floats: DataFrame, hists: DataFrame | None, name: str) -> DataFrame:
+def join_rollup(floats: DataFrame, hists: DataFrame | None, name: str, own: list[str]) -> DataFrame:
     """Cells of windows with floats and with histograms. Mixed windows: counts add up, the newest kind wins where one or
     two samples decide, others are absent."""
     none = F.lit(None).cast(HISTOGRAM)
@@ -362,7 +362,7 @@ def join_rollup(floats: DataFrame, hists: DataFrame | None, name: str) -> DataFr
         floats = floats.withColumn("t1", F.lit(None).cast("bigint"))
     if hists is None:
         return floats.filter(F.col("value").isNotNull()).select("labels", "step", "value", none.alias("hist"))
-    both = floats.join(hists.withColumnsRenamed({"t1": "t2"}), ["labels", "step"], "full_outer")
+    both = floats.join(hists.withColumnsRenamed({"t1": "t2"}), [*own, "step"], "full_outer")
     if name in ("last_over_time", "irate", "idelta"):
         newer = F.col("t2").isNotNull() & (F.coalesce("t1", F.lit(-(2**62))) < F.col("t2"))
         out = both.select("labels", "step", F.when(~newer, F.col("value")).alias("value"), F.when(newer, F.col("hist")).alias("hist"))

@@ -116,6 +116,7 @@ class Compiler:
         if "hist" not in samples.columns:
             samples = samples.withColumn("hist", F.lit(None).cast(hg.HISTOGRAM))
         self.spark, self.samples, self.grid, self.lookback = spark, samples, grid, lookback_ms
+        self.narrow: list[str] | None = None
 
     # --- evaluation -------------------------------------------------------------------------------------------
 
@@ -165,10 +166,20 @@ class Compiler:
 
     def selected(self, node: p.Selector, low: int, high: int) -> DataFrame:
         """Samples of the selector in (low, high]: label and time filters reach the scan."""
+        narrow, self.narrow = self.narrow, None
         keep = (F.col("ts_ms") > low) & (F.col("ts_ms") <= high)
         for name, op, value in node.matchers:
             keep = keep & matcher(column_of(self.samples, name), op, value)
-        return self.samples.filter(keep).select("labels", "ts_ms", "value", "stale", "hist")
+        rows = self.samples.filter(keep).select("labels", "ts_ms", "value", "stale", "hist")
+        if narrow is None or not self.one_name(node):
+            return rows
+        one, two = lab.key(F.col("labels"))
+        return rows.withColumns({"_s1": one, "_s2": two, "labels": lab.keep(F.col("labels"), narrow)})
+
+    @staticmethod
+    def identity(df: DataFrame) -> list[str]:
+        """The columns that tell series apart: their labels, or a 128-bit key where only some labels are carried along."""
+        return ["_s1", "_s2", "labels"] if "_s1" in df.columns else ["labels"]
 
     @staticmethod
     def one_name(node: p.Selector) -> bool:
@@ -190,7 +201,7 @@ class Compiler:
         pinned = self.pin(node)
         grid = self.grid if pinned is None else Grid(pinned, pinned, 0)
         rows = self.selected(node, grid.start - node.offset_ms - self.lookback, grid.last - node.offset_ms)
-        rows = neighbours(rows, ["labels"], "ts_ms", {"ts_ms": "next_ts"}, self.lookback, forward=True)
+        rows = neighbours(rows, self.identity(rows)[:2], "ts_ms", {"ts_ms": "next_ts"}, self.lookback, forward=True)
         until = F.least(F.col("ts_ms") + self.lookback, F.coalesce("next_ts", F.col("ts_ms") + self.lookback))
         seen = rows.filter(~F.col("stale")).withColumn("step", F.explode(visible(grid, node.offset_ms, F.col("ts_ms"), until)))
         df = seen.select("labels", "step", "value", "hist", F.col("ts_ms").alias("src_ts"))
@@ -217,12 +228,12 @@ class Compiler:
             named = inner.named
         else:
             raise QueryError("a range vector is needed")
-        rows = neighbours(rows, ["labels"], "ts_ms", {"ts_ms": "pts", "value": "pv"}, node.range_ms)
+        rows = neighbours(rows, self.identity(rows)[:2], "ts_ms", {"ts_ms": "pts", "value": "pv"}, node.range_ms)
         seen = rows.withColumn("step", F.explode(visible(grid, node.offset_ms, F.col("ts_ms"), F.col("ts_ms") + node.range_ms)))
         eff = F.col("step") - node.offset_ms
         inside = F.col("pts") > F.col("step") - node.offset_ms - node.range_ms
         df = seen.select(
-            "labels", "step", eff.alias("eff"), F.col("ts_ms").alias("ts"), F.col("value").alias("v"), "hist",
+            *self.identity(seen), "step", eff.alias("eff"), F.col("ts_ms").alias("ts"), F.col("value").alias("v"), "hist",
             F.when(inside, F.col("pts")).alias("pts"), F.when(inside, F.col("pv")).alias("pv"),
         )
         return Windowed(df, node.range_ms, named, node.offset_ms, pinned)
@@ -232,9 +243,10 @@ class Compiler:
     def rollup(self, name: str, node, param: float | None) -> Vector:
         w = self.window(node)
         floats = w.df.filter(F.col("hist").isNull())
-        hists = hg.rollup(w, name)
+        own = self.identity(w.df)
+        hists = hg.rollup(w, name, own)
         v, ts, pv = F.col("v"), F.col("ts"), F.col("pv")
-        by = floats.groupBy("labels", "step", "eff")
+        by = floats.groupBy(*own, "step", "eff")
         n = F.count("*")
         seconds = ieee.num(w.range_ms / 1000)
         if name in ("rate", "increase", "delta"):
@@ -251,13 +263,13 @@ class Compiler:
                 to_start = F.when((change > 0) & (F.col("v0") >= 0) & (to_zero < to_start), to_zero).otherwise(to_start)
             to_end = F.when(to_end >= every * 1.1, every / 2).otherwise(to_end)
             value = change * ((sampled + to_start + to_end) / sampled) / (seconds if name == "rate" else ieee.num(1))
-            df = g.filter(F.col("n") > 1).select("labels", "step", value.alias("value"))
+            df = g.filter(F.col("n") > 1).select(*own, "step", value.alias("value"))
         elif name in ("irate", "idelta"):
             g = by.agg(n.alias("n"), F.max("ts").alias("t1"), F.max_by("v", "ts").alias("v1"), F.max_by("pts", "ts").alias("t0"), F.max_by("pv", "ts").alias("v0"))
             change = F.col("v1") - F.col("v0")
             if name == "irate":
                 change = F.when(F.col("v1") < F.col("v0"), F.col("v1")).otherwise(change) / ((F.col("t1") - F.col("t0")) / 1000)
-            df = g.select("labels", "step", change.alias("value"), "t1")  # null where the last float follows a histogram, or nothing
+            df = g.select(*own, "step", change.alias("value"), "t1")  # null where the last float follows a histogram, or nothing
         elif name in ("deriv", "predict_linear"):
             x = (ts - F.col("eff")) / 1000
             g = by.agg(n.alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.regr_slope(v, x).alias("slope"), F.avg(v).alias("my"), F.avg(x).alias("mx"))
@@ -265,7 +277,7 @@ class Compiler:
             flat = F.when(F.abs("lo") == ieee.INF, ieee.num(ieee.NAN)).otherwise(ieee.num(0))
             slope = F.when(steady, flat).otherwise(F.coalesce("slope", ieee.num(ieee.NAN)))
             value = slope if name == "deriv" else F.when(steady, F.when(F.abs("lo") == ieee.INF, ieee.num(ieee.NAN)).otherwise(F.col("lo"))).otherwise(F.col("my") - slope * F.col("mx") + slope * ieee.num(param))
-            df = g.filter(F.col("n") > 1).select("labels", "step", value.alias("value"))
+            df = g.filter(F.col("n") > 1).select(*own, "step", value.alias("value"))
         else:
             both_nan = F.isnan(v) & F.isnan(pv)
             after_histogram = F.col("pts").isNotNull() & pv.isNull()  # the sample before it in the window is of the other kind
@@ -277,8 +289,8 @@ class Compiler:
                 "stddev_over_time": lambda: F.stddev_pop("v"), "stdvar_over_time": lambda: F.var_pop("v"), "present_over_time": lambda: F.max(F.lit(1.0)),
                 "quantile_over_time": lambda: ieee.quantile(param, v),
             }[name]()
-            df = by.agg(value.alias("value"), F.max("ts").alias("t1")).select("labels", "step", "value", "t1")
-        df = hg.join_rollup(df, hists, name)
+            df = by.agg(value.alias("value"), F.max("ts").alias("t1")).select(*own, "step", "value", "t1")
+        df = hg.join_rollup(df, hists, name, own)
         df = self.spread(df, w.pinned is not None)
         if w.pinned is not None and self.grid.count == 1:
             df = df.withColumn("step", F.lit(self.grid.start))
@@ -467,8 +479,20 @@ class Compiler:
     def group_key(self, node: p.Aggregate) -> Column:
         return lab.drop(F.col("labels"), [*node.labels, NAME]) if node.without else lab.keep(F.col("labels"), node.labels)
 
+    @staticmethod
+    def needed(node: p.Aggregate) -> list[str] | None:
+        """Labels that suffice below an aggregation ``by`` names over a selector or a range function of one: the selector then
+        carries these and a key of the series instead of all labels. None if all are needed."""
+        inner = node.expr
+        if isinstance(inner, p.Call) and inner.name in RANGE_FUNCTIONS:
+            inner = next((a for a in inner.args if isinstance(a, p.Selector)), None)
+        plain = isinstance(inner, p.Selector) and not node.without and NAME not in node.labels
+        return list(node.labels) if plain and node.op not in ("topk", "bottomk") else None
+
     def aggregate(self, node: p.Aggregate) -> Vector:
+        self.narrow = self.needed(node)
         v = self.vector_arg(node.expr)
+        self.narrow = None
         key = self.group_key(node)
         floats = v.df.filter(F.col("hist").isNull())
         x = F.col("value")

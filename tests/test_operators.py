@@ -228,10 +228,21 @@ def test_statistics_of_both_sources(spark, tmp_path):
     values = [1.5, 2.5, 2.5, float("nan"), None, float("inf")]
     spark.createDataFrame([(i, "n", ms + i, v, at) for i, v in enumerate(values)], "sample_id long, namespace string, timestamp_ms long, value double, ingested_at timestamp_ntz").write.parquet(f"{tmp_path}/samples.parquet")
     spark.createDataFrame([(1, "n", ms * 10**6, "four", at)], "entry_id long, namespace string, timestamp_ns long, line string, ingested_at timestamp_ntz").write.parquet(f"{tmp_path}/log_entries.parquet")
-    rows = {r.src: (r.n, r.distinct_values, r.minimum, r.maximum, r.median) for r in queries.QUERIES["p4_statistics_all"](spark, str(tmp_path)).collect()}
+    rows = {r.src: (r.n, r.distinct_values, r.minimum, r.maximum, r.median) for r in queries.QUERIES["p4_statistics"](spark, str(tmp_path)).collect()}
     assert rows == {"sample": (4, 3, 1.5, float("inf"), 2.5), "log": (1, 1, 4.0, 4.0, 4.0)}
 
 
+def test_statistics_of_a_hot_period_and_null_keys(spark):
+    """A period that holds nearly all values is cut into ranges; its median comes out exactly."""
+    values = [(i * 7919) % 5003 / 10 for i in range(5003)]
+    rows = [("hot", 0, v, 1, 0, 0) for v in values] + [("hot", 300_000, 1.0, 0, 2, 0), (None, 0, 4.0, 1, 0, 0), (None, 0, 6.0, 2, 0, 5), ("gone", 0, 1.0, 0, 0, 3)]
+    state = spark.createDataFrame(rows, "ns string, period_start_ms long, value double, on_time long, late long, dropped long").repartition(4)
+    got = {(r.ns, r.period_start_ms): (r.n, r.distinct_values, r.minimum, r.maximum, r.median) for r in late.statistics(state, ["ns"]).collect()}
+    ordered = sorted(values)
+    assert got == {("hot", 0): (5003, 5003, ordered[0], ordered[-1], ordered[2501]), ("hot", 300_000): (2, 1, 1.0, 1.0, 1.0), (None, 0): (3, 2, 4.0, 6.0, 6.0)}
+    assert late.statistics(state.limit(0), ["ns"]).count() == 0
+
+
 def test_first_arrivals(spark):
     df = spark.createDataFrame([(1, "a", T0 + dt.timedelta(1)), (1, "a", T0), (1, "a", None), (2, "b", None)], "id long, v string, at timestamp_ntz")
     got = late.first_arrivals(df, ["id"], "at", ["v"]).collect()

@@ -143,6 +143,11 @@ def test_streams(spark, tmp_path):
     assert total == 60
     state.fold(to_state(spark.createDataFrame(rows[:5], schema)), last)  # a repeated batch replaces its version
     assert late.counts(state.read(last), ["ns"]).agg(F.sum("final_count")).collect()[0][0] < 60 + 5
+    with pytest.raises(FileNotFoundError):
+        state.fold(to_state(spark.createDataFrame(rows[:5], schema)), last + 2)  # a version is missing
+    gone = state.expire(last, 0)
+    assert gone >= 1 and late.counts(state.read(last), ["ns"]).count() > 0  # replaced days went, the state stays
+    assert state.expire(last, 1 << 60) >= 1 and state.read(last) is None
     counts = ingest.windowed_counts(ingest.read_stream(spark, str(tmp_path / "in"), schema), "at", [], "10 seconds")
     q = counts.writeStream.format("memory").queryName("win").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
