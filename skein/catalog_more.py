@@ -146,6 +146,16 @@ def logql_matched_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["logql_matched_entries"] = logql_matched_entries
+# The words of a text as the analyser takes them, in the other engine's regular expressions.
+WORDS = rf"list_transform(regexp_extract_all({{0}}, '[A-Za-z][A-Za-z0-9+.-]*://[^\s\p{{{{Z}}}}\"''<>]+|[\p{{{{L}}}}\p{{{{N}}}}_.+-]+@[\p{{{{L}}}}\p{{{{N}}}}_-]+(?:\.[\p{{{{L}}}}\p{{{{N}}}}_-]+)+|\p{{{{Nd}}}}+(?:[.,]\p{{{{Nd}}}}+)+|(?:[\p{{{{L}}}}\p{{{{N}}}}_]+[''’.:])*[\p{{{{L}}}}\p{{{{N}}}}_]*[\p{{{{L}}}}\p{{{{N}}}}]|[\p{{{{L}}}}\p{{{{N}}}}_]+'), lambda x: lower(x))".replace("{{{{", "{{").replace("}}}}", "}}")
+TF = "len(list_filter(words, lambda x: x = '{0}'))"
+ORACLES["logql_matched_entries"] = LOGS + f""", b AS (SELECT *, {WORDS.format("line")} AS words, ns // 3600000000000 AS seg FROM e WHERE ns >= {START} * 1000000 AND ns < {END} * 1000000),
+c AS (SELECT *, greatest(len(words), 1) AS size, {TF.format("lease")} AS t1, {TF.format("renewed")} AS t2 FROM b),
+s AS (SELECT seg, count(*) AS n, avg(size) AS mean, count(*) FILTER (t1 > 0) AS d1, count(*) FILTER (t2 > 0) AS d2 FROM c GROUP BY 1),
+l AS (SELECT entry_id, any_value(list_sort(list_filter(labels, lambda x: x.value <> ''))) AS ls FROM log_entries GROUP BY 1),
+k AS (SELECT namespace, ls, ns, line, meta, any_value(ln((n - d1 + 0.5) / (d1 + 0.5) + 1) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * size / greatest(mean, 1))) + ln((n - d2 + 0.5) / (d2 + 0.5) + 1) * t2 * 2.2 / (t2 + 1.2 * (0.25 + 0.75 * size / greatest(mean, 1)))) AS score
+  FROM c JOIN s USING (seg) JOIN l USING (entry_id) WHERE t1 > 0 AND t2 > 0 GROUP BY ALL)
+SELECT ns AS ts_ns, line, round(score, 6) AS score FROM k"""
 
 # --- traces -----------------------------------------------------------------------------------------------------------
 
@@ -174,6 +184,13 @@ ORACLES["traceql_time_range"] = SPANS + WHERE + f"kind = 'server' AND start >= {
 
 # --- search -----------------------------------------------------------------------------------------------------------
 
+BM_TERMS = ["flusher", "lease", "segment"]
+ORACLES["search_bm25"] = f"""WITH b AS (SELECT doc_id AS id, {WORDS.format("text")} AS words FROM documents WHERE text IS NOT NULL),
+c AS (SELECT id, len(words) AS size, {", ".join(f"{TF.format(w)} AS t{i}" for i, w in enumerate(BM_TERMS))} FROM b),
+s AS (SELECT count(*) AS n, avg(size) AS mean, {", ".join(f"count(*) FILTER (t{i} > 0) AS d{i}" for i in range(3))} FROM c),
+q AS (SELECT *, CASE WHEN size < 64 THEN size ELSE floor(size / 2 ^ (floor(log2(size)) - 3)) * 2 ^ (floor(log2(size)) - 3) END AS kept FROM c, s),
+r AS (SELECT id, {" + ".join(f"(ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * kept / greatest(mean, 1))))::FLOAT::DOUBLE" for i in range(3))} AS score FROM q WHERE t0 + t1 + t2 > 0)
+SELECT id, round(score, 5) AS score FROM r ORDER BY r.score DESC, id LIMIT 50"""
 ORACLES["search_centroids"] = ORACLES["search_knn_cosine"]  # the lists are searched exactly
 cat.filtered("search_filter_bounds", ["And", [["price", "Gt", 1000], ["price", "Lte", 4000]]], "coalesce(price > 1000 AND price <= 4000, false)")
 cat.filtered("search_filter_not_in", ["And", [["category", "NotIn", ["alert", "runbook"]], ["tags", "NotContainsAny", ["flintgate"]]]], "NOT coalesce(category IN ('alert', 'runbook'), false) AND NOT coalesce(list_has_any(tags, ['flintgate']), false)")
@@ -219,13 +236,14 @@ SELECT category, count(*) AS n, sum(price)::BIGINT AS price FROM k WHERE NOT coa
 
 
 def source_passages(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, short (whether one passage holds the whole text), fits (no passage is too long)."""
+    """doc_id, fits (no passage is too long) of every text that isn't blank."""
     docs = table(spark, d, "documents").filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("id"), "text")
     p = vectors.passages(docs)
-    return p.groupBy(F.col("`$doc_id`").cast("bigint").alias("doc_id")).agg((F.count("*") == 1).alias("short"), (F.max(F.char_length("text")) <= vectors.MAX_CHARS).alias("fits"))
+    return p.groupBy(F.col("`$doc_id`").cast("bigint").alias("doc_id")).agg((F.max(F.char_length("text")) <= vectors.MAX_CHARS).alias("fits"))
 
 
 QUERIES["source_passages"] = source_passages
+ORACLES["source_passages"] = r"SELECT doc_id, true AS fits FROM documents WHERE regexp_matches(text, '[^\s\p{Z}\x{85}\x{1c}-\x{1f}\x{b}]')"
 
 # --- sources: the tables' rows as request bodies, decoded again -----------------------------------------------------------
 
