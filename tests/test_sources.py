@@ -1,11 +1,13 @@
 import datetime as dt
 import json
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions.levels import detected_level
+from skein.labels import LABELS as labels_type
 from skein.operators import late
 from skein.sources import discovery, otlp, wire
 from skein.streaming import ingest
@@ -109,6 +111,47 @@ def test_remote_write(spark):
         wire.unsnappy(b"\x05\x00a")
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_remote_write_of_many_rows(spark, version):
+    """A row of 6 labels took 1.4 ms of a core to encode and decode."""
+    name = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"))
+    labels = F.array(*[name(f"l{i}", F.col("id") % (7 + i)) for i in range(5)], name("long", F.repeat(F.lit("x"), 200)))
+    rows = spark.range(0, 40_000, 1, 1).select(F.when(F.col("id") == 5, F.array().cast(labels_type)).otherwise(labels).alias("labels"), (F.col("id") - 1000).alias("timestamp_ms"), F.when(F.col("id") != 6, F.col("id") / 8).alias("value"))
+    began = time.monotonic()
+    got = wire.remote_write(wire.encoded(rows, version)).withColumnRenamed("ts_ms", "timestamp_ms").persist()
+    assert got.count() == 40_000
+    assert time.monotonic() - began < 20
+    want = rows.withColumns({"labels": F.array_sort("labels"), "value": F.coalesce("value", F.lit(float("nan")))})
+    assert want.exceptAll(got.select("labels", "timestamp_ms", "value")).count() == 0
+    got.unpersist()
+
+
+def test_remote_write_keeps_nan(spark):
+    """Both kinds of NaN are values, as in the samples view; they came out as null."""
+    rows = spark.createDataFrame([([("a", "b")], i, v) for i, v in enumerate((float("nan"), 1.5, float("inf")))], f"labels {labels_type}, timestamp_ms long, value double")
+    got = sorted((r.ts_ms, str(r.value), r.stale) for r in wire.remote_write(wire.encoded(rows)).collect())
+    assert got == [(0, "nan", False), (1, "1.5", False), (2, "inf", False)]
+    stale = _field(1, _field(2, b"\x09" + struct.pack("<Q", wire.STALE_BITS)))
+    r = wire.remote_write(spark.createDataFrame([(bytearray(_snappy(stale)),)], "content binary")).collect()[0]
+    assert (str(r.value), r.stale, r.labels, r.ts_ms) == ("nan", True, [], 0)
+
+
+def test_remote_write_of_odd_bodies(spark):
+    """References beyond 127, given apart or packed; series of both versions share the tables of one task; broken bodies."""
+    symbols = [b"", *[b"s%d" % i for i in range(300)]]
+    table = b"".join(_field(4, x) for x in symbols)
+    apart = b"".join(_varint(1 << 3) + _varint(x) for x in (200, 2, 3, 299))
+    packed = _field(1, b"".join(map(_varint, (200, 2)))) + _field(1, b"".join(map(_varint, (3, 299))))
+    point = _field(2, b"\x09" + struct.pack("<d", 1.0) + _varint(2 << 3) + _varint((1 << 64) - 5))
+    inline = _field(1, _field(1, _field(1, b"s2") + _field(2, b"s298")) + _field(1, _field(2, b"s1") + _field(1, b"s199")) + _field(1, _field(1, b"gone")) + point + point)
+    bodies = [_snappy(x) for x in (table + _field(5, apart + point) + _field(5, packed + point), inline, _field(3, b""))]
+    got = wire.remote_write(spark.createDataFrame([(bytearray(x),) for x in bodies], "content binary").coalesce(1)).collect()
+    assert [(as_dict(r), r.ts_ms, r.value) for r in got] == [({"s199": "s1", "s2": "s298"}, -5, 1.0)] * 4
+    for broken in (b"", b"\xff\xff\xff\xff\x0f\x00a", _snappy(_field(1, point)[:-3])):
+        with pytest.raises((ValueError, IndexError)):
+            list(wire.message(wire.unsnappy(broken)))
+
+
 def test_discovery_and_encodings(spark):
     from promcase import load
 
