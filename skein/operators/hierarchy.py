@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.runtime import cut
@@ -41,6 +41,33 @@ def _doubling(state: DataFrame, step, fold) -> DataFrame:
     return state
 
 
+def _linked(named: DataFrame, columns: list[str]) -> DataFrame:
+    """id, columns and jump (the parent's id, null without one) of rows with tree, node, parent and id."""
+    above = named.select("tree", F.col("node").alias("parent"), F.col("id").alias("jump"))
+    start = ["id", *columns, "jump"]
+    has = named.filter(F.col("parent").isNotNull()).join(above, ["tree", "parent"], "left").select(*start)
+    return has.unionByName(named.filter(F.col("parent").isNull()).withColumn("jump", F.lit(None).cast("bigint")).select(*start))
+
+
+def _resolved(linked: DataFrame, root: Column, with_path: bool = False) -> DataFrame:
+    """id, jump (null but on or below a cycle), root (the value that the topmost node has there), acc (the depth), size of the
+    subtree and, if asked for, path (from node to root). Rows of ``linked``: id, jump, node for the path and what ``root`` reads."""
+    extra = ["path"] if with_path else []
+    top = F.col("jump").isNull()
+    state = linked.withColumns({"root": F.when(top, root), "acc": F.when(top, 0).otherwise(1).cast("int"), "size": F.lit(1).cast("bigint"), **({"path": F.array("node")} if with_path else {})})
+    state = state.select("id", "jump", "root", "acc", "size", *extra)
+
+    def step(opened: DataFrame, state: DataFrame) -> DataFrame:
+        target = state.select(F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("acc").alias("_acc"), *[F.col(c).alias(f"_{c}") for c in extra])
+        return opened.join(target, "jump").select("id", F.col("_jump").alias("jump"), F.col("_root").alias("root"), (F.col("acc") + F.col("_acc")).alias("acc"), "size", *[F.concat(c, f"_{c}").alias(c) for c in extra])
+
+    def fold(moved: DataFrame, opened: DataFrame) -> DataFrame:
+        gain = opened.groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("_gain"))
+        return moved.join(gain, "id", "left").withColumn("size", F.col("size") + F.coalesce("_gain", F.lit(0))).drop("_gain")
+
+    return _doubling(state, step, fold)
+
+
 def resolve(links: DataFrame, with_path: bool = False) -> DataFrame:
     """tree, node, root, depth, n_descendants and, if asked for, path (array from root to node).
 
@@ -57,25 +84,7 @@ def resolve(links: DataFrame, with_path: bool = False) -> DataFrame:
     AQE splits, and as one partial sum per task on the way down.
     """
     named = cut(links.select("tree", "node", "parent", F.monotonically_increasing_id().alias("id")))
-    above = named.select("tree", F.col("node").alias("parent"), F.col("id").alias("jump"))
-    extra = ["path"] if with_path else []
-    start = ["id", *(["node"] if with_path else []), "jump"]
-    has = named.filter(F.col("parent").isNotNull()).join(above, ["tree", "parent"], "left").select(*start)
-    roots = named.filter(F.col("parent").isNull()).withColumn("jump", F.lit(None).cast("bigint")).select(*start)
-    top = F.col("jump").isNull()
-    state = has.unionByName(roots).withColumns({"root": F.when(top, F.col("id")), "acc": F.when(top, 0).otherwise(1).cast("int"), "size": F.lit(1).cast("bigint")})
-    if with_path:
-        state = state.withColumn("path", F.array("node")).drop("node")
-
-    def step(opened: DataFrame, state: DataFrame) -> DataFrame:
-        target = state.select(F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("acc").alias("_acc"), *[F.col(c).alias(f"_{c}") for c in extra])
-        return opened.join(target, "jump").select("id", F.col("_jump").alias("jump"), F.col("_root").alias("root"), (F.col("acc") + F.col("_acc")).alias("acc"), "size", *[F.concat(c, f"_{c}").alias(c) for c in extra])
-
-    def fold(moved: DataFrame, opened: DataFrame) -> DataFrame:
-        gain = opened.groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("_gain"))
-        return moved.join(gain, "id", "left").withColumn("size", F.col("size") + F.coalesce("_gain", F.lit(0))).drop("_gain")
-
-    state = _doubling(state, step, fold)
+    state = _resolved(_linked(named, ["node"] if with_path else []), F.col("id"), with_path)
     cyclic = F.col("jump").isNotNull()
     names = named.select("id", "tree", "node")
     tops = names.select(F.col("id").alias("root"), F.col("node").alias("_root"))
@@ -99,26 +108,32 @@ def descendants(resolved: DataFrame) -> DataFrame:
     ).select("tree", "node", "descendant", (F.col("depth") - F.col("_at")).alias("distance"))
 
 
-def ancestors_fold(links: DataFrame, weight: str, total: str = "above") -> DataFrame:
-    """links plus ``total``: the sum of ``weight`` over a node and all its ancestors, by pointer doubling.
+def nested_sets(links: DataFrame, order: str) -> DataFrame:
+    """tree, node, left, right, above: nested-set numbers, without walking a tree in one task.
 
-    Parents outside the table end a chain. Nodes on or below cycles get null.
+    ``links``: tree, node, parent (null at a root) and ``order``, by which, then by node, siblings go. left is the sum of
+    1 + 2 * (sizes of the earlier siblings) over a node and its ancestors; above is the parent's left, -1 at a root. Nodes
+    that hang on no node without a parent have 0.
+
+    Two rounds of doubling, for the sizes and for the sums, over row numbers as in ``resolve``; what comes before either is
+    checkpointed, so no plan holds another twice.
     """
-    known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    state = links.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("jump"), F.col(weight).cast("double").alias("acc"))
-    state = cut(state)
-    open_nodes = state.filter(F.col("jump").isNotNull()).count()
-    while open_nodes:
-        up = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("acc").alias("_acc"))
-        opened, done = state.filter(F.col("jump").isNotNull()), state.filter(F.col("jump").isNull())
-        moved = opened.join(up, ["tree", "jump"]).select("tree", "node", F.col("_jump").alias("jump"), (F.col("acc") + F.col("_acc")).alias("acc"))
-        state = cut(moved.unionByName(done))
-        left = state.filter(F.col("jump").isNotNull()).count()
-        if left == open_nodes:
-            break
-        open_nodes = left
-    sums = state.select("tree", "node", F.when(F.col("jump").isNull(), F.col("acc")).alias(total))
-    return links.join(sums, ["tree", "node"])
+    named = cut(links.select("tree", "node", "parent", order, F.monotonically_increasing_id().alias("id")))
+    linked = cut(_linked(named, ["tree", "node", order, "parent"]).withColumn("whole", F.col("parent").isNull()).drop("parent"))
+    sized = _resolved(linked, F.col("whole").cast("int")).filter(F.col("jump").isNull() & (F.col("root") == 1)).select("id", "size")
+    before = Window.partitionBy("tree", "jump").orderBy(order, "node").rowsBetween(Window.unboundedPreceding, -1)
+    weight = 1 + 2 * F.coalesce(F.sum("size").over(before), F.lit(0))
+    weights = cut(linked.join(sized, "id").select("id", "jump", "size", weight.alias("weight")))
+
+    def step(opened: DataFrame, state: DataFrame) -> DataFrame:
+        target = state.select(F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("acc").alias("_acc"))
+        return opened.join(target, "jump").select("id", F.col("_jump").alias("jump"), (F.col("acc") + F.col("_acc")).alias("acc"))
+
+    sums = _doubling(weights.select("id", "jump", F.col("weight").alias("acc")), step, lambda moved, _: moved).select("id", F.col("acc").alias("left"))
+    top = F.col("jump").isNull()
+    numbers = weights.join(sums, "id").select("id", "left", (F.col("left") + 2 * F.col("size") - 1).alias("right"), F.when(top, -1).otherwise(F.col("left") - F.col("weight")).alias("above"))
+    names = named.select("id", "tree", "node")
+    return names.join(numbers, "id", "left").select("tree", "node", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("left", "right", "above")])
 
 
 def reach(links: DataFrame, flag: str) -> DataFrame:

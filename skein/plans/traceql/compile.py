@@ -187,8 +187,8 @@ class Compiler:
 
     # --- derived columns ------------------------------------------------------------------------------------------
 
-    def links(self, rows: DataFrame) -> DataFrame:
-        return rows.select(F.col("trace_id").alias("tree"), F.col("span_id").alias("node"), F.when(F.col("parent_span_id") != "", F.col("parent_span_id")).alias("parent"))
+    def links(self, rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select(F.col("trace_id").alias("tree"), F.col("span_id").alias("node"), F.when(F.col("parent_span_id") != "", F.col("parent_span_id")).alias("parent"), *columns)
 
     def roots(self) -> DataFrame:
         """Per trace: root span (without a parent in the trace; the earliest, then smallest id), start and duration."""
@@ -202,29 +202,9 @@ class Compiler:
         )
 
     def nested_sets(self) -> DataFrame:
-        """nestedSet numbers without walking a trace in one task.
-
-        left is a sum along the ancestors of 1 + 2 * (sizes of the earlier siblings); siblings go by (start, id).
-        Spans that no parentless root reaches have 0; a root's parent is -1.
-        """
-        from pyspark.sql.window import Window
-
-        links = self.links(self.spans)
-        sized = hierarchy.resolve(links).select("tree", "node", F.col("root"), (F.col("n_descendants") + 1).alias("size"))
-        times = self.spans.select(F.col("trace_id").alias("tree"), F.col("span_id").alias("node"), "start_ns")
-        rows = links.join(sized, ["tree", "node"]).join(times, ["tree", "node"])
-        before = Window.partitionBy("tree", "parent").orderBy("start_ns", "node").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("w", 1 + 2 * F.coalesce(F.sum("size").over(before), F.lit(0)))
-        tops = rows.filter(F.col("parent").isNull()).select("tree", F.col("node").alias("root"), F.lit(True).alias("_ok"))
-        summed = hierarchy.ancestors_fold(rows.join(tops, ["tree", "root"], "left").drop("root"), "w", "left")
-        up = summed.select("tree", F.col("node").alias("parent"), F.col("left").alias("_pl"))
-        full = summed.join(up, ["tree", "parent"], "left")
-        ok = F.coalesce("_ok", F.lit(False))
-        zero = lambda c: F.when(ok, c).otherwise(0).cast("bigint")
-        return full.select(
-            F.col("tree").alias("trace_id"), F.col("node").alias("span_id"), zero(F.col("left")).alias("_left"), zero(F.col("left") + 2 * F.col("size") - 1).alias("_right"),
-            zero(F.when(F.col("parent").isNull(), F.lit(-1)).otherwise(F.col("_pl"))).alias("_above"),
-        )
+        """nestedSet numbers; siblings go by (start, id). Spans that no parentless root reaches have 0; a root's parent is -1."""
+        numbers = hierarchy.nested_sets(self.links(self.spans, "start_ns"), "start_ns")
+        return numbers.select(F.col("tree").alias("trace_id"), F.col("node").alias("span_id"), *[F.col(c).alias(f"_{c}") for c in ("left", "right", "above")])
 
     def prepared(self, query: p.Query) -> DataFrame:
         need, rows = used(query), self.spans
