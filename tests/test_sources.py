@@ -5,6 +5,8 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from skein.functions.levels import detected_level
 from skein.labels import LABELS as labels_type
@@ -126,6 +128,26 @@ def test_remote_write_of_many_rows(spark, version):
     got.unpersist()
 
 
+def test_remote_write_of_new_series(spark, monkeypatch):
+    """Each row a series of its own: a label that many of them carry was decoded for each."""
+    name = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"))
+    shared = [name(f"l{i}", F.lit("é" * i)) for i in range(4)]  # l0 has no value, so it goes
+    rows = spark.range(0, 25_000, 1, 1).select(F.array(name("pod", F.col("id")), *shared, name("a", F.col("id") % 9)).alias("labels"), F.col("id").alias("timestamp_ms"), (F.col("id") / 8).alias("value"))
+    bodies = [r.content for r in wire.encoded(rows.limit(500)).collect()]
+    decoded, message = [], wire.message
+    monkeypatch.setattr(wire, "message", lambda data: decoded.append(data) or message(data))
+    schema = to_arrow_schema(StructType.fromDDL(wire.SCHEMA))
+    kept = wire.Rows(schema)
+    for body in bodies:
+        kept.add(wire.unsnappy(body))
+    assert [[(x["name"], x["value"]) for x in r] for r in kept.batch()["labels"].to_pylist()[::499]] == [[("a", a), ("l1", "é"), ("l2", "éé"), ("l3", "ééé"), ("pod", pod)] for a, pod in (("0", "0"), ("4", "499"))]
+    assert len(decoded) == 500 + 4 + 9
+    monkeypatch.undo()
+    got = wire.remote_write(wire.encoded(rows)).withColumnRenamed("ts_ms", "timestamp_ms")
+    want = rows.withColumn("labels", F.array_sort(F.filter("labels", lambda x: x["value"] != "")))
+    assert got.count() == 25_000 and want.exceptAll(got.select("labels", "timestamp_ms", "value")).count() == 0
+
+
 def test_remote_write_keeps_nan(spark):
     """Both kinds of NaN are values, as in the samples view; they came out as null."""
     rows = spark.createDataFrame([([("a", "b")], i, v) for i, v in enumerate((float("nan"), 1.5, float("inf")))], f"labels {labels_type}, timestamp_ms long, value double")
